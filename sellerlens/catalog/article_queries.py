@@ -275,14 +275,14 @@ def _add_feeds(r: Registry) -> None:
           sql("""SELECT rrd_id, realizationreport_id, strftime(date_from,'%Y-%m-%d') AS date_from,
                  strftime(date_to,'%Y-%m-%d') AS date_to, report_type, supplier_oper_name, ppvz_for_pay FROM v_settlement""",
               "v_settlement"))
-    income = schemas.T.StructType.fromDDL("incomeId BIGINT, date STRING, nmId BIGINT, totalPrice DOUBLE")
+    income = schemas.row(incomeId=schemas.LONG, date=schemas.TEXT, nmId=schemas.LONG, totalPrice=schemas.DOUBLE)
     r.add("scan_incomes", lambda s, d: feeds.decode(px.income_bodies(s, d), "incomes", schema=income),
           """SELECT o_orderkey AS "incomeId", strftime(o_orderdate,'%Y-%m-%d') AS date, o_custkey AS "nmId",
              o_totalprice AS "totalPrice" FROM orders""")
-    storage = schemas.T.StructType.fromDDL("nmId BIGINT, brand STRING, warehousePrice DOUBLE")
+    storage = schemas.row(nmId=schemas.LONG, brand=schemas.TEXT, warehousePrice=schemas.DOUBLE)
     r.add("scan_paid_storage", lambda s, d: feeds.decode_array(px.storage_bodies(s, d), storage),
           """SELECT p_partkey AS "nmId", p_brand AS brand, p_retailprice AS "warehousePrice" FROM part""")
-    returned = schemas.T.StructType.fromDDL("orderId BIGINT, nmId BIGINT, returnDate STRING")
+    returned = schemas.row(orderId=schemas.LONG, nmId=schemas.LONG, returnDate=schemas.TEXT)
     r.add("scan_goods_return", lambda s, d: feeds.decode_array(px.goods_return_bodies(s, d), returned, field="report"),
           """SELECT l_orderkey AS "orderId", l_partkey AS "nmId", strftime(l_shipdate,'%Y-%m-%d') AS "returnDate"
              FROM lineitem WHERE l_returnflag='R'""")

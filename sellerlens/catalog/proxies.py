@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sellerlens.sources import schemas
 
@@ -18,8 +19,28 @@ EVENTS_AS_OF = "2024-01-30"
 col, lit = F.col, F.lit
 
 
+LONG, INT, DOUBLE, TEXT, TIME = schemas.LONG, schemas.INT, schemas.DOUBLE, schemas.TEXT, T.TimestampNTZType()
+
+# Given up front, a read starts no job to look into the files first.
+TABLES = {
+    "nation": schemas.row(n_nationkey=INT, n_name=TEXT, n_regionkey=INT),
+    "customer": schemas.row(c_custkey=LONG, c_name=TEXT, c_nationkey=INT, c_acctbal=DOUBLE, c_mktsegment=TEXT),
+    "supplier": schemas.row(s_suppkey=LONG, s_name=TEXT, s_nationkey=INT, s_acctbal=DOUBLE),
+    "part": schemas.row(p_partkey=LONG, p_name=TEXT, p_brand=TEXT, p_type=TEXT, p_size=INT, p_retailprice=DOUBLE),
+    "orders": schemas.row(
+        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=TEXT, o_totalprice=DOUBLE, o_orderdate=TIME, o_orderpriority=TEXT,
+    ),
+    "lineitem": schemas.row(
+        l_orderkey=LONG, l_partkey=LONG, l_suppkey=LONG, l_linenumber=INT, l_quantity=DOUBLE, l_extendedprice=DOUBLE,
+        l_discount=DOUBLE, l_tax=DOUBLE, l_returnflag=TEXT, l_linestatus=TEXT, l_shipdate=TIME,
+    ),
+    "events": schemas.row(event_id=LONG, ts=TIME, user_id=LONG, event_type=TEXT, value=DOUBLE, props=TEXT),
+    "conversations": schemas.row(conv_id=LONG, turn=LONG, role=TEXT, text=TEXT),
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _pick(df: DataFrame, formulas: dict[str, Column], columns: tuple[str, ...]) -> DataFrame:

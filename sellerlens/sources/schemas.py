@@ -9,110 +9,101 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+LONG, INT, DOUBLE, TEXT, BOOL = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
+
+
+def row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def many(element: T.DataType) -> T.ArrayType:
+    return T.ArrayType(element)
+
+
 # Fixed value: the feed writes this instead of NULL while an order is not cancelled.
 NOT_CANCELLED = "0001-01-01T00:00:00"
 
-ORDERS = T.StructType.fromDDL(
-    """
-    srid STRING, date STRING, lastChangeDate STRING, supplierArticle STRING, nmId BIGINT,
-    totalPrice DOUBLE, discountPercent DOUBLE, finishedPrice DOUBLE, priceWithDisc DOUBLE,
-    warehouseName STRING, oblast STRING, subject STRING, category STRING,
-    isRealization BOOLEAN, cancel_dt STRING
-    """
+ORDERS = row(
+    srid=TEXT, date=TEXT, lastChangeDate=TEXT, supplierArticle=TEXT, nmId=LONG, totalPrice=DOUBLE,
+    discountPercent=DOUBLE, finishedPrice=DOUBLE, priceWithDisc=DOUBLE, warehouseName=TEXT,
+    oblast=TEXT, subject=TEXT, category=TEXT, isRealization=BOOL, cancel_dt=TEXT,
 )
 
-SALES = T.StructType.fromDDL(
-    """
-    date STRING, lastChangeDate STRING, supplierArticle STRING, totalPrice DOUBLE,
-    discountPercent DOUBLE, promoCodeDiscount DOUBLE, warehouseName STRING, subject STRING,
-    category STRING, regionName STRING, spp DOUBLE, forPay DOUBLE, finishedPrice DOUBLE,
-    priceWithDisc DOUBLE, IsStorno INT
-    """
+SALES = row(
+    date=TEXT, lastChangeDate=TEXT, supplierArticle=TEXT, totalPrice=DOUBLE, discountPercent=DOUBLE,
+    promoCodeDiscount=DOUBLE, warehouseName=TEXT, subject=TEXT, category=TEXT, regionName=TEXT,
+    spp=DOUBLE, forPay=DOUBLE, finishedPrice=DOUBLE, priceWithDisc=DOUBLE, IsStorno=INT,
 )
 
-STOCKS = T.StructType.fromDDL("supplierArticle STRING, quantity BIGINT")
+STOCKS = row(supplierArticle=TEXT, quantity=LONG)
 
-CAMPAIGN_LIST = T.StructType.fromDDL(
-    """
-    adverts ARRAY<STRUCT<type: INT, status: INT, count: BIGINT,
-        advert_list: ARRAY<STRUCT<advertId: BIGINT, changeTime: STRING>>>>
-    """
+CAMPAIGN_LIST = row(
+    adverts=many(row(
+        type=INT, status=INT, count=LONG,
+        advert_list=many(row(advertId=LONG, changeTime=TEXT)),
+    ))
 )
 
-CAMPAIGNS = T.StructType.fromDDL(
-    """
-    advertId BIGINT, name STRING, type INT, status INT, dailyBudget DOUBLE, paymentType STRING,
-    createTime STRING, changeTime STRING, startTime STRING, endTime STRING,
-    autoParams STRUCT<cpm: BIGINT, subject: STRUCT<id: BIGINT, name: STRING>,
-        nms: ARRAY<BIGINT>, nmCPM: ARRAY<STRUCT<nm: BIGINT, cpm: BIGINT>>>,
-    unitedParams ARRAY<STRUCT<catalogCPM: BIGINT, searchCPM: BIGINT,
-        subject: STRUCT<id: BIGINT, name: STRING>, nms: ARRAY<BIGINT>>>,
-    auction_multibids ARRAY<STRUCT<nm: BIGINT, bid: BIGINT>>
-    """
+SUBJECT = row(id=LONG, name=TEXT)
+
+CAMPAIGNS = row(
+    advertId=LONG, name=TEXT, type=INT, status=INT, dailyBudget=DOUBLE, paymentType=TEXT,
+    createTime=TEXT, changeTime=TEXT, startTime=TEXT, endTime=TEXT,
+    autoParams=row(cpm=LONG, subject=SUBJECT, nms=many(LONG), nmCPM=many(row(nm=LONG, cpm=LONG))),
+    unitedParams=many(row(catalogCPM=LONG, searchCPM=LONG, subject=SUBJECT, nms=many(LONG))),
+    auction_multibids=many(row(nm=LONG, bid=LONG)),
 )
 
 # chunk_seq is not part of the payload: the landing step numbers the chunks it writes, so that
 # "first in arrival order" keeps a meaning once the files are read in parallel.
-AD_FULLSTATS = T.StructType.fromDDL(
-    """
-    chunk_seq BIGINT, advertId BIGINT, views BIGINT, clicks BIGINT, orders BIGINT, atbs BIGINT,
-    shks BIGINT, sum DOUBLE, sum_price DOUBLE, interval STRUCT<begin: STRING, end: STRING>,
-    days ARRAY<STRUCT<date: STRING, views: BIGINT, clicks: BIGINT, sum: DOUBLE, orders: BIGINT,
-        sum_price: DOUBLE, apps: ARRAY<STRUCT<appType: INT, views: BIGINT, clicks: BIGINT,
-            sum: DOUBLE, nm: ARRAY<STRUCT<nmId: BIGINT, name: STRING, views: BIGINT,
-                clicks: BIGINT, sum: DOUBLE, orders: BIGINT, sum_price: DOUBLE>>>>>>,
-    boosterStats ARRAY<STRUCT<date: STRING, nm: BIGINT, avg_position: DOUBLE>>
-    """
+AD_FULLSTATS = row(
+    chunk_seq=LONG, advertId=LONG, views=LONG, clicks=LONG, orders=LONG, atbs=LONG, shks=LONG,
+    sum=DOUBLE, sum_price=DOUBLE, interval=row(begin=TEXT, end=TEXT),
+    days=many(row(
+        date=TEXT, views=LONG, clicks=LONG, sum=DOUBLE, orders=LONG, sum_price=DOUBLE,
+        apps=many(row(
+            appType=INT, views=LONG, clicks=LONG, sum=DOUBLE,
+            nm=many(row(
+                nmId=LONG, name=TEXT, views=LONG, clicks=LONG, sum=DOUBLE, orders=LONG, sum_price=DOUBLE,
+            )),
+        )),
+    )),
+    boosterStats=many(row(date=TEXT, nm=LONG, avg_position=DOUBLE)),
 )
 
-AUTO_STAT_WORDS = T.StructType.fromDDL(
-    "clusters ARRAY<STRUCT<cluster: STRING, count: BIGINT, keywords: ARRAY<STRING>>>"
-)
+AUTO_STAT_WORDS = row(clusters=many(row(cluster=TEXT, count=LONG, keywords=many(TEXT))))
 
-STAT_WORDS = T.StructType.fromDDL(
-    """
-    words STRUCT<fixed: BOOLEAN, excluded: ARRAY<STRING>, phrase: ARRAY<STRING>,
-        strong: ARRAY<STRING>, pluse: ARRAY<STRING>>
-    """
+STAT_WORDS = row(
+    words=row(fixed=BOOL, excluded=many(TEXT), phrase=many(TEXT), strong=many(TEXT), pluse=many(TEXT))
 )
 
-KEYWORD_STATS = T.StructType.fromDDL(
-    """
-    keywords ARRAY<STRUCT<date: STRING,
-        stats: ARRAY<STRUCT<keyword: STRING, views: BIGINT, clicks: BIGINT, sum: DOUBLE>>>>
-    """
+KEYWORD_STATS = row(
+    keywords=many(row(
+        date=TEXT, stats=many(row(keyword=TEXT, views=LONG, clicks=LONG, sum=DOUBLE)),
+    ))
 )
 
-WAREHOUSE_REMAINS = T.StructType.fromDDL(
-    """
-    brand STRING, subjectName STRING, vendorCode STRING, nmId BIGINT, barcode STRING,
-    techSize STRING, volume DOUBLE, inWayToClient BIGINT, inWayFromClient BIGINT,
-    quantityWarehousesFull BIGINT,
-    warehouses ARRAY<STRUCT<warehouseName: STRING, quantity: BIGINT>>
-    """
+WAREHOUSE_REMAINS = row(
+    brand=TEXT, subjectName=TEXT, vendorCode=TEXT, nmId=LONG, barcode=TEXT, techSize=TEXT,
+    volume=DOUBLE, inWayToClient=LONG, inWayFromClient=LONG, quantityWarehousesFull=LONG,
+    warehouses=many(row(warehouseName=TEXT, quantity=LONG)),
 )
 
-SETTLEMENT = T.StructType.fromDDL(
-    """
-    rrd_id BIGINT, realizationreport_id BIGINT, date_from STRING, date_to STRING,
-    report_type INT, supplier_oper_name STRING, ppvz_for_pay DOUBLE
-    """
+SETTLEMENT = row(
+    rrd_id=LONG, realizationreport_id=LONG, date_from=TEXT, date_to=TEXT, report_type=INT,
+    supplier_oper_name=TEXT, ppvz_for_pay=DOUBLE,
 )
 
-SLOTS = T.StructType.fromDDL(
-    """
-    date STRING, coefficient INT, warehouseID BIGINT, warehouseName STRING,
-    allowUnload BOOLEAN, boxTypeName STRING, boxTypeID INT, storageCoef STRING,
-    deliveryCoef STRING, deliveryBaseLiter STRING, deliveryAdditionalLiter STRING,
-    storageBaseLiter STRING, storageAdditionalLiter STRING, isSortingCenter BOOLEAN
-    """
+SLOTS = row(
+    date=TEXT, coefficient=INT, warehouseID=LONG, warehouseName=TEXT, allowUnload=BOOL,
+    boxTypeName=TEXT, boxTypeID=INT, storageCoef=TEXT, deliveryCoef=TEXT, deliveryBaseLiter=TEXT,
+    deliveryAdditionalLiter=TEXT, storageBaseLiter=TEXT, storageAdditionalLiter=TEXT,
+    isSortingCenter=BOOL,
 )
 
-WAREHOUSES = T.StructType.fromDDL(
-    "ID BIGINT, name STRING, address STRING, workTime STRING, acceptsQR BOOLEAN"
-)
+WAREHOUSES = row(ID=LONG, name=TEXT, address=TEXT, workTime=TEXT, acceptsQR=BOOL)
 
-REGISTRY = T.StructType.fromDDL("user_id STRING, user_api STRING, seq BIGINT")
+REGISTRY = row(user_id=TEXT, user_api=TEXT, seq=LONG)
 
 FEEDS: dict[str, T.StructType] = {
     "orders": ORDERS,

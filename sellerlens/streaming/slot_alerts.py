@@ -63,9 +63,8 @@ def run_over_table(spark: SparkSession, folder: str) -> DataFrame:
     from sellerlens.catalog import proxies
     from sellerlens.catalog.feed_queries import SLOT_RULE
 
-    path = f"{folder}/orders.parquet"
-    # As a pattern it may name one file as well as a folder of files.
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    # As a pattern the path may name one file as well as a folder of files.
+    stream = spark.readStream.schema(proxies.TABLES["orders"]).parquet(f"{folder}/orders.parquet*")
     run = f"{shared_dir(spark)}/slot-alerts/{uuid.uuid4().hex}"
     query = start(
         proxies.slots(stream), f"{run}/alerts", f"{run}/checkpoint", f"{run}/metrics",
