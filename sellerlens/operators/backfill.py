@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from sellerlens.functions.dates import Day, day_of, to_day
 
 
+def recent_start(start: Day, end: Day, days_back: int) -> dt.date:
+    """Start of a quick load that only reaches ``days_back`` days before the end."""
+    return max(to_day(end) - dt.timedelta(days=days_back), to_day(start))
+
+
 def windows(start: Column, end: Column, span: int, whole: bool = True) -> Column:
     """Array of windows ``(from, to)`` of ``span`` days back to back, the last cut at ``end``.
 

@@ -67,33 +67,35 @@ def calendar_bounds(name: str, as_of: dt.date) -> tuple[dt.date, dt.date]:
 def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0) -> DataFrame:
     """Rows of the newest bucket that occurs, or of the one ``skip`` occurring buckets earlier.
 
-    The subquery returns the earliest date inside that bucket. The date alone names the bucket,
-    and the plain comparison with it is the part the scan can use.
+    Two scalars come from one aggregate over the dates: the bucket, and the earliest date in it,
+    whose plain comparison is the part the scan can use. Sorting by both columns keeps the two
+    subqueries the same up to their last projection, so the aggregate runs once.
     """
     keyed = df.select(F.col(column).alias("d"), bucket(F.col(column)).alias("b")).where("b IS NOT NULL")
-    first_day = (
-        keyed.groupBy("b")
-        .agg(F.min("d").alias("d"))
-        .orderBy(F.desc("b"))
-        .offset(skip)
-        .limit(1)
-        .select("d")
-        .scalar()
+    found = (
+        keyed.groupBy("b").agg(F.min("d").alias("d"))
+        .orderBy(F.desc("b"), "d").offset(skip).limit(1)
     )
-    return df.where((F.col(column) >= first_day) & (bucket(F.col(column)) == bucket(first_day)))
+    first_day, newest = found.select("d").scalar(), found.select("b").scalar()
+    return df.where((F.col(column) >= first_day) & (bucket(F.col(column)) == newest))
 
 
 def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0) -> DataFrame:
     """Rows of the newest year whose week (or month) number is the highest of *any* year.
 
     ``shift=0`` keeps numbers at or above that maximum, ``shift=1`` exactly the one below. Early
-    in a year this selects nothing, since an earlier year reached a higher number.
+    in a year this selects nothing, since an earlier year reached a higher number. The newest
+    year enters as its first date, which the scan can use; one aggregate serves both scalars.
     """
+    keyed = df.select(
+        F.col(column).alias("d"), F.year(dates.ts(column)).alias("y"), part(F.col(column)).alias("n")
+    ).where("y IS NOT NULL")
+    per_year = keyed.groupBy("y").agg(F.min("d").alias("d"), F.max("n").alias("n"))
+    first_day = per_year.orderBy(F.desc("y"), "d", "n").limit(1).select("d").scalar()
+    top_number = per_year.orderBy(F.desc("n"), "d", "y").limit(1).select("n").scalar()
     number = part(F.col(column))
-    top_number = df.agg(F.max(part(F.col(column)))).scalar()
-    top_year = df.agg(F.max(F.year(dates.ts(column)))).scalar()
     hit = number >= top_number if shift == 0 else number == top_number - shift
-    return df.where(hit & (F.year(dates.ts(column)) >= top_year))
+    return df.where((F.col(column) >= first_day) & hit)
 
 
 def week_number(column: Column) -> Column:
@@ -105,7 +107,13 @@ def month_number(column: Column) -> Column:
 
 
 def one_bucket(df: DataFrame, column: str, bucket: Bucket, value: int) -> DataFrame:
-    return df.where(bucket(F.col(column)) == F.lit(value))
+    """Rows of one bucket ``year * 100 + number``.
+
+    Its dates lie in that year or in the January after; the scan can use that much.
+    """
+    year = value // 100
+    near = between(df, column, dt.date(year, 1, 1), dt.date(year + 1, 2, 1))
+    return near.where(bucket(F.col(column)) == F.lit(value))
 
 
 # --- names -----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sellerlens.functions import dates
 from sellerlens.functions.pricing import margin, percent, ratio
 from sellerlens.operators import grouping, nested, ranking
 
@@ -63,6 +64,9 @@ def campaign_rollup(chunks: DataFrame, views: str = "min") -> DataFrame:
     ``views="sum"`` is the consistent reading. The day and booster lists are represented by
     their sizes; their rows come from ``ad_lines`` and ``booster_lines``.
     """
+    # Compared as dates: unlike text, a date fits the fixed-width state of a hash aggregate.
+    first = F.min(dates.day_of("interval.begin"))
+    last = F.max(dates.day_of("interval.end"))
     added = ["clicks", "sum", "orders", "sum_price", "atbs", "shks"]
     size = lambda c: F.sum(F.when(F.col(c).isNull(), 0).otherwise(F.size(c)))
     return grouping.drop_null_keys(chunks, "advertId").groupBy("advertId").agg(
@@ -70,8 +74,8 @@ def campaign_rollup(chunks: DataFrame, views: str = "min") -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
         size("days").alias("days"),
         size("boosterStats").alias("boosterStats"),
-        F.min("interval.begin").alias("interval_begin"),
-        F.max("interval.end").alias("interval_end"),
+        F.date_format(first, "yyyy-MM-dd").alias("interval_begin"),
+        F.date_format(last, "yyyy-MM-dd").alias("interval_end"),
     )
 
 

@@ -22,40 +22,55 @@ def typed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({c: day_of(c) for c in PERIOD})
 
 
-def report_counts(lines: DataFrame) -> DataFrame:
-    """Lines per report and period."""
+def _known_period():
+    return F.col(PERIOD[0]).isNotNull() & F.col(PERIOD[1]).isNotNull()
+
+
+def _counts(lines: DataFrame) -> DataFrame:
     return (
-        grouping.drop_null_keys(lines, *PERIOD, REPORT)
+        grouping.drop_null_keys(lines, REPORT)
         .groupBy(*PERIOD, REPORT)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def labels(lines: DataFrame) -> DataFrame:
-    """Region label per report: the report with most lines of its period is ``ru``.
+def report_counts(lines: DataFrame) -> DataFrame:
+    """Lines per report and period; lines without a period belong to none."""
+    return _counts(lines).where(_known_period())
+
 
-    Ties go to the smaller id; a report in several periods takes the label of the last. The
-    biggest report is found by an aggregate and joined back on period *and* report, so that
-    a period shared by very many reports is neither sorted in one task nor a join key.
+def report_regions(lines: DataFrame) -> DataFrame:
+    """Per report its region label and the first and last date of its lines.
+
+    The report with most lines of its period is ``ru``, ties going to the smaller id; a report
+    in several periods takes the label of the last. The lines are read once, into their counts.
+    The biggest report is found by an aggregate and joined back on period, report *and* count:
+    a period shared by very many reports is neither sorted in one task nor a join key by itself,
+    and with the count among the keys both sides need the same columns and share one shuffle.
     """
-    counts = report_counts(lines)
+    counts = _counts(lines)
     biggest = (
-        counts.groupBy(*PERIOD)
+        counts.where(_known_period())
+        .groupBy(*PERIOD)
         .agg(F.max(F.struct("n", (-F.col(REPORT)).alias("neg"))).alias("m"))
-        .select(*PERIOD, (-F.col("m.neg")).alias(REPORT), F.lit(HOME).alias("region"))
+        .select(*PERIOD, (-F.col("m.neg")).alias(REPORT), F.col("m.n").alias("n"), F.lit(HOME).alias("region"))
     )
-    labelled = counts.join(biggest, [*PERIOD, REPORT], "left").withColumn(
-        "region", F.coalesce("region", F.lit(OTHER))
+    labelled = counts.join(biggest, [*PERIOD, REPORT, "n"], "left")
+    label = F.struct(*PERIOD, F.coalesce("region", F.lit(OTHER)).alias("region"))
+    last = F.max(F.when(_known_period(), label)).getField("region")
+    return (
+        labelled.groupBy(REPORT)
+        .agg(last.alias("region"), F.min(PERIOD[0]).alias(PERIOD[0]), F.max(PERIOD[1]).alias(PERIOD[1]))
+        .where("region IS NOT NULL")
     )
-    last = F.max(F.struct(*PERIOD, "region")).getField("region")
-    return labelled.groupBy(REPORT).agg(last.alias("region"))
+
+
+def labels(lines: DataFrame) -> DataFrame:
+    return report_regions(lines).select(REPORT, "region")
 
 
 def report_index(lines: DataFrame) -> DataFrame:
     """One row per report: label, first and last date, and the name its export carries."""
-    bounds = grouping.drop_null_keys(lines, REPORT).groupBy(REPORT).agg(
-        F.min("date_from").alias("date_from"), F.max("date_to").alias("date_to")
-    )
     name = F.format_string(
         "id_%s_from_%s_to_%s_reg_%s",
         F.col(REPORT).cast("string"),
@@ -63,7 +78,7 @@ def report_index(lines: DataFrame) -> DataFrame:
         F.date_format("date_to", "yyyy-MM-dd"),
         F.col("region"),
     )
-    return bounds.join(labels(lines), REPORT).withColumn("report_name", name)
+    return report_regions(lines).withColumn("report_name", name)
 
 
 def labelled_lines(lines: DataFrame) -> DataFrame:
