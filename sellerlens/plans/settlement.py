@@ -22,13 +22,26 @@ def typed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({c: day_of(c) for c in PERIOD})
 
 
+# Stands for a missing date while grouping, so that no key is null.
+NO_DATE = "0001-01-01"
+
+
+def _no_date():
+    return F.lit(NO_DATE).cast("date")
+
+
+def _dated(column: str):
+    return F.when(F.col(column) != _no_date(), F.col(column))
+
+
 def _known_period():
-    return F.col(PERIOD[0]).isNotNull() & F.col(PERIOD[1]).isNotNull()
+    return (F.col(PERIOD[0]) != _no_date()) & (F.col(PERIOD[1]) != _no_date())
 
 
 def _counts(lines: DataFrame) -> DataFrame:
+    filled = lines.withColumns({c: F.coalesce(F.col(c), _no_date()) for c in PERIOD})
     return (
-        grouping.drop_null_keys(lines, REPORT)
+        grouping.drop_null_keys(filled, REPORT)
         .groupBy(*PERIOD, REPORT)
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -43,15 +56,14 @@ def report_regions(lines: DataFrame) -> DataFrame:
     """Per report its region label and the first and last date of its lines.
 
     The report with most lines of its period is ``ru``, ties going to the smaller id; a report
-    in several periods takes the label of the last. The lines are read once, into their counts.
-    The biggest report is found by an aggregate and joined back on period, report *and* count:
-    a period shared by very many reports is neither sorted in one task nor a join key by itself,
-    and with the count among the keys both sides need the same columns and share one shuffle.
+    in several periods takes the label of the last. The biggest report is found by an aggregate
+    and joined back on period, report *and* count: a period shared by very many reports is
+    neither sorted in one task nor a join key by itself. With the count among the keys, and no
+    key that can be null, both sides ask the same of the lines, which are read and shuffled once.
     """
     counts = _counts(lines)
     biggest = (
-        counts.where(_known_period())
-        .groupBy(*PERIOD)
+        counts.groupBy(*PERIOD)
         .agg(F.max(F.struct("n", (-F.col(REPORT)).alias("neg"))).alias("m"))
         .select(*PERIOD, (-F.col("m.neg")).alias(REPORT), F.col("m.n").alias("n"), F.lit(HOME).alias("region"))
     )
@@ -60,7 +72,11 @@ def report_regions(lines: DataFrame) -> DataFrame:
     last = F.max(F.when(_known_period(), label)).getField("region")
     return (
         labelled.groupBy(REPORT)
-        .agg(last.alias("region"), F.min(PERIOD[0]).alias(PERIOD[0]), F.max(PERIOD[1]).alias(PERIOD[1]))
+        .agg(
+            last.alias("region"),
+            F.min(_dated(PERIOD[0])).alias(PERIOD[0]),
+            F.max(_dated(PERIOD[1])).alias(PERIOD[1]),
+        )
         .where("region IS NOT NULL")
     )
 

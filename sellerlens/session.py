@@ -41,16 +41,14 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "sellerle
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: there, driver and executors are
-    one process.
+    Only a local session without that setting may fall back to a temporary folder: there, driver
+    and executors are one process.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="sellerlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+    if context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sellerlens-"))
+        return context.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
