@@ -242,7 +242,7 @@ def _add_series(r: Registry) -> None:
 
 
 def _iso(column: str):
-    return F.date_format(column, "yyyy-MM-dd").alias(column)
+    return dates.iso_day(column).alias(column)
 
 
 def _add_feeds(r: Registry) -> None:

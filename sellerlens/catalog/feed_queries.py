@@ -31,8 +31,8 @@ def _add_nested(r: Registry) -> None:
                     o_orderkey % 3 AS count, o_orderkey * 2 + i AS "advertId", strftime(o_orderdate,'%Y-%m-%d') AS "changeTime"
              FROM orders JOIN (VALUES (0),(1)) t(i) ON i < o_orderkey % 3""")
     r.add("distinct_campaigns",
-          lambda s, d: nested.campaign_rows(px.campaigns(s, d)).select("advertId").distinct(),
-          'SELECT DISTINCT o_orderkey AS "advertId" FROM orders')
+          lambda s, d: nested.campaign_list(px.campaign_groups(s, d)).select("advertId").distinct(),
+          """SELECT DISTINCT o_orderkey * 2 + i AS "advertId" FROM orders JOIN (VALUES (0),(1)) t(i) ON i < o_orderkey % 3""")
     base = """v.endTime AS "endTime", v.createTime AS "createTime", v.changeTime AS "changeTime", v.startTime AS "startTime",
               v.name, v.dailyBudget AS "dailyBudget", v.k AS "advertId", v.status, v.type, v.paymentType AS "paymentType" """
     item = ", ".join(f'CAST(i.{f} AS {"VARCHAR" if kind == "string" else "BIGINT"}) AS "{f}"' for f, kind in nested.ITEM_FIELDS.items())
@@ -49,7 +49,7 @@ def _add_nested(r: Registry) -> None:
           sql('SELECT k AS "advertId", createTime AS "createTime", changeTime AS "changeTime" FROM v_campaigns', "v_campaigns"))
     r.add("campaign_times",
           lambda s, d: px.campaigns(s, d).select("advertId", *dates.offset_parts("createTime"))
-          .withColumn("createTime_date", F.date_format("createTime_date", "yyyy-MM-dd")),
+          .withColumn("createTime_date", F.col("createTime_date").cast("string")),
           sql("""SELECT k AS "advertId", substring(createTime,1,10) AS "createTime_date", substring(createTime,1,19) AS "createTime_datetime",
                  '+03:00' AS "createTime_timezone" FROM v_campaigns""", "v_campaigns"))
     r.add("flatten_struct",
@@ -233,7 +233,7 @@ def _add_keywords(r: Registry) -> None:
 # --- settlement ------------------------------------------------------------------------------
 
 def _iso(*columns):
-    return [F.date_format(c, "yyyy-MM-dd").alias(c) for c in columns]
+    return [dates.iso_day(c).alias(c) for c in columns]
 
 
 def _add_settlement(r: Registry) -> None:
@@ -262,7 +262,7 @@ def _add_settlement(r: Registry) -> None:
     pay = "SUM(CASE WHEN report_type=1 AND supplier_oper_name='{op}' THEN ppvz_for_pay ELSE 0 END)"
     sold, back = pay.format(op=settlement.SALE), pay.format(op=settlement.RETURN)
     r.add("settlement_net_tax",
-          lambda s, d: _r(settlement.net_and_tax(lines(s, d)).withColumn("first_date", F.date_format("first_date", "yyyy-MM-dd")),
+          lambda s, d: _r(settlement.net_and_tax(lines(s, d)).withColumn("first_date", dates.iso_day("first_date")),
                           sales=2, returns=2, net=2, tax=4),
           sql(f"""SELECT round({sold},2) AS sales, round({back},2) AS returns, round({sold}-{back},2) AS net,
                   round(({sold}-{back})*0.06,4) AS tax, strftime(MIN(date_from),'%Y-%m-%d') AS first_date FROM v_settlement""", "v_settlement"))
@@ -318,7 +318,7 @@ def _add_backfill(r: Registry) -> None:
             FROM (SELECT hi, unnest(generate_series(lo, {stop}, INTERVAL {span} DAY)) AS f
                   FROM (SELECT CAST(MIN(l_shipdate) AS TIMESTAMP) AS lo, CAST(MAX(l_shipdate) AS TIMESTAMP) AS hi FROM lineitem))
         """
-    dated = lambda df: df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("date_from", "date_to")})
+    dated = lambda df: df.withColumns({c: dates.iso_day(c) for c in ("date_from", "date_to")})
     for key, span, whole in (("backfill_windows", 32, True), ("backfill_windows_reference", 32, False),
                              ("backfill_windows_weekly", 7, True)):
         r.add(key, lambda s, d, n=span, w=whole: dated(backfill.covering_windows(px.orders(s, d, "date"), "date", n, w)),

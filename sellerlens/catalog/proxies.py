@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sellerlens.functions.dates import iso_day
 from sellerlens.sources import schemas
 
 LINES_AS_OF = "2001-10-31"
@@ -140,7 +141,7 @@ def ads(spark: SparkSession, folder: str) -> DataFrame:
     """Ad lines that are flat already: one per campaign, day, device and product."""
     keys = [
         (col("user_id") % 20).alias("advertId"),
-        F.date_format("ts", "yyyy-MM-dd").alias("date_day"),
+        iso_day("ts").alias("date_day"),
         F.when(col("event_type").isin("click", "purchase"), 1).otherwise(32).alias("appType_device"),
         col("user_id").alias("nmId_nm"),
     ]
@@ -159,7 +160,7 @@ def boosters(spark: SparkSession, folder: str) -> DataFrame:
         .where(col("event_type") == "view")
         .groupBy(
             (col("user_id") % 20).alias("advertId"),
-            F.date_format("ts", "yyyy-MM-dd").alias("date_booster"),
+            iso_day("ts").alias("date_booster"),
             col("user_id").alias("nm_booster"),
         )
         .agg(F.avg("value").alias("avg_position_booster"))
@@ -177,7 +178,7 @@ def campaign_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def fullstats(spark: SparkSession, folder: str) -> DataFrame:
     """Nested ad statistics, one chunk per event, lists empty for some kinds of event."""
-    day = F.date_format("ts", "yyyy-MM-dd")
+    day = iso_day("ts")
     user, event = col("user_id"), col("event_id")
 
     def product(n: int) -> Column:
@@ -241,7 +242,7 @@ def keyword_stats(spark: SparkSession, folder: str) -> DataFrame:
         col("event_id") % 10 != 1, F.array(stat)
     )
     return _events(spark, folder).select(
-        F.array(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), stats.alias("stats"))).alias("keywords")
+        F.array(F.struct(iso_day("ts").alias("date"), stats.alias("stats"))).alias("keywords")
     )
 
 
@@ -328,7 +329,7 @@ def campaign_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Campaign lists: each order one group with 0 to 2 campaigns."""
     key = col("o_orderkey")
     advert = lambda i: F.struct(
-        (key * 2 + i).alias("advertId"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("changeTime")
+        (key * 2 + i).alias("advertId"), iso_day("o_orderdate").alias("changeTime")
     )
     group = F.struct(
         (8 + key % 2).cast("int").alias("type"), (key % 3 + 7).cast("int").alias("status"),
@@ -355,7 +356,7 @@ def campaigns(spark: SparkSession, folder: str) -> DataFrame:
     )
     blocks = F.array(block(F.array(c, c + 1)), block(null.cast("array<bigint>")), block(F.array(c + 5)))
     stamp = lambda days: F.concat(
-        F.date_format(F.date_add(col("o_orderdate").cast("date"), days), "yyyy-MM-dd"), lit("T10:11:12.123456+03:00")
+        F.date_add(col("o_orderdate").cast("date"), days).cast("string"), lit("T10:11:12.123456+03:00")
     )
     return table(spark, folder, "orders").select(
         k.alias("advertId"),
@@ -396,7 +397,7 @@ def goods_return_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Raw goods-return response bodies, one per returned line."""
     row = F.struct(
         col("l_orderkey").alias("orderId"), col("l_partkey").alias("nmId"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("returnDate"),
+        iso_day("l_shipdate").alias("returnDate"),
     )
     lines = table(spark, folder, "lineitem").where(col("l_returnflag") == "R")
     return lines.select(F.to_json(F.struct(F.array(row).alias("report"))).alias("payload"))
@@ -405,7 +406,7 @@ def goods_return_bodies(spark: SparkSession, folder: str) -> DataFrame:
 def income_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         F.to_json(F.struct(
-            col("o_orderkey").alias("incomeId"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+            col("o_orderkey").alias("incomeId"), iso_day("o_orderdate").alias("date"),
             col("o_custkey").alias("nmId"), col("o_totalprice").alias("totalPrice"),
         )).alias("payload")
     )

@@ -36,6 +36,11 @@ def day_of(column: Column | str) -> Column:
     return ts(column).cast("date")
 
 
+def iso_day(column: Column | str) -> Column:
+    """The day as ``yyyy-MM-dd`` text; a plain cast, cheaper than formatting by pattern."""
+    return day_of(column).cast("string")
+
+
 def yearweek(column: Column | str) -> Column:
     """``year * 100 + ISO week``, a January day in a week >= 50 counted to the year before."""
     t = ts(column)

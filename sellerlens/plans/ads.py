@@ -43,7 +43,8 @@ def ad_lines(chunks: DataFrame) -> DataFrame:
 
 
 def iso_day(column: str) -> Column:
-    return F.date_format(F.to_date(F.substring(column, 1, 10)), "yyyy-MM-dd")
+    """The calendar day an ISO text names, whatever time and offset follow; bad text is an error."""
+    return F.to_date(F.substring(column, 1, 10)).cast("string")
 
 
 def booster_lines(chunks: DataFrame) -> DataFrame:
@@ -74,8 +75,8 @@ def campaign_rollup(chunks: DataFrame, views: str = "min") -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
         size("days").alias("days"),
         size("boosterStats").alias("boosterStats"),
-        F.date_format(first, "yyyy-MM-dd").alias("interval_begin"),
-        F.date_format(last, "yyyy-MM-dd").alias("interval_end"),
+        first.cast("string").alias("interval_begin"),
+        last.cast("string").alias("interval_end"),
     )
 
 

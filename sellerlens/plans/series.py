@@ -21,13 +21,14 @@ WEEK_KEYS = {
 
 def bucket_column(grain: str, week_key: str = "padded") -> Column:
     if grain == "day":
-        return F.date_format(dates.ts("date"), "yyyy-MM-dd")
+        return dates.day_of("date")
     return WEEK_KEYS[week_key]("date").cast("bigint")
 
 
 def one_series(priced: DataFrame, label: str, bucket: Column) -> DataFrame:
     per_bucket = grouping.count_and_sum(priced.select(bucket.alias("bucket"), AMOUNT), "bucket", AMOUNT)
-    return per_bucket.select(F.lit(label).alias("series"), "bucket", "qty", AMOUNT)
+    shown = F.col("bucket").cast("string") if dict(per_bucket.dtypes)["bucket"] == "date" else F.col("bucket")
+    return per_bucket.select(F.lit(label).alias("series"), shown.alias("bucket"), "qty", AMOUNT)
 
 
 def orders_vs_sales(

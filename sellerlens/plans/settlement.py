@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sellerlens.functions.dates import day_of
+from sellerlens.functions.dates import day_of, iso_day
 from sellerlens.functions.pricing import TAX_RATE
 from sellerlens.operators import grouping
 
@@ -90,8 +90,8 @@ def report_index(lines: DataFrame) -> DataFrame:
     name = F.format_string(
         "id_%s_from_%s_to_%s_reg_%s",
         F.col(REPORT).cast("string"),
-        F.date_format("date_from", "yyyy-MM-dd"),
-        F.date_format("date_to", "yyyy-MM-dd"),
+        iso_day("date_from"),
+        iso_day("date_to"),
         F.col("region"),
     )
     return report_regions(lines).withColumn("report_name", name)
