@@ -108,7 +108,7 @@ def _positioned(spark, folder):
 
 def _costs(spark, folder):
     return ads.costs_by_article(
-        ads.by_product(_positioned(spark, folder)), px.campaign_names(spark, folder), _per_product(spark, folder)
+        ads.by_product(ads.cost_lines(px.fullstats(spark, folder))), px.campaign_names(spark, folder), _per_product(spark, folder)
     )
 
 

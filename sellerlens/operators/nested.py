@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def suffixed(df: DataFrame, struct: str, suffix: str, drop: tuple[str, ...] = ()) -> list[Column]:
+def suffixed(kind: T.StructType, struct: str, suffix: str, drop: tuple[str, ...] = ()) -> list[Column]:
     """The fields of a struct column, each named with a suffix."""
-    fields = df.select(F.col(struct)).schema[0].dataType.fieldNames()
-    return [F.col(struct).getField(f).alias(f + suffix) for f in fields if f not in drop]
+    return [F.col(struct).getField(f).alias(f + suffix) for f in kind.fieldNames() if f not in drop]
 
 
 def flatten_struct(df: DataFrame, separator: str = "_") -> DataFrame:

@@ -23,23 +23,22 @@ def ad_lines(chunks: DataFrame) -> DataFrame:
     one row of nulls. The chunks are exploded as they are; a campaign's days are never gathered
     in one place first. Positions keep the arrival order for ``keep first``.
     """
-    days = chunks.select(
-        "advertId", "chunk_seq", F.posexplode_outer("days").alias("day_pos", "day")
-    )
+    day = chunks.schema["days"].dataType.elementType
+    device = day["apps"].dataType.elementType
+    product = device["nm"].dataType.elementType
+
+    origin = ["advertId", "chunk_seq"]
+    days = chunks.select(*origin, F.posexplode_outer("days").alias("day_pos", "day"))
+    day_columns = nested.suffixed(day, "day", "_day", drop=("apps",))
     devices = days.select(
-        "advertId", "chunk_seq", "day_pos",
-        *nested.suffixed(days, "day", "_day", drop=("apps",)),
-        F.posexplode_outer("day.apps").alias("app_pos", "device"),
-    )
-    upper = [c for c in devices.columns if c != "device"]
+        *origin, "day_pos", *day_columns, F.posexplode_outer("day.apps").alias("app_pos", "device")
+    ).withColumn("date_day", iso_day("date_day"))
     products = devices.select(
-        *upper,
-        *nested.suffixed(devices, "device", "_device", drop=("nm",)),
+        "*",
+        *nested.suffixed(device, "device", "_device", drop=("nm",)),
         F.posexplode_outer("device.nm").alias("nm_pos", "product"),
     )
-    upper = [c for c in products.columns if c != "product"]
-    lines = products.select(*upper, *nested.suffixed(products, "product", "_nm"))
-    return lines.withColumn("date_day", iso_day("date_day"))
+    return products.select("*", *nested.suffixed(product, "product", "_nm")).drop("device", "product")
 
 
 def iso_day(column: str) -> Column:
@@ -48,11 +47,12 @@ def iso_day(column: str) -> Column:
 
 
 def booster_lines(chunks: DataFrame) -> DataFrame:
+    booster = chunks.schema["boosterStats"].dataType.elementType
     lines = chunks.select(
         "advertId", "chunk_seq", F.posexplode_outer("boosterStats").alias("booster_pos", "b")
     )
     return lines.select(
-        "advertId", "chunk_seq", "booster_pos", *nested.suffixed(lines, "b", "_booster")
+        "advertId", "chunk_seq", "booster_pos", *nested.suffixed(booster, "b", "_booster")
     ).withColumn("date_booster", iso_day("date_booster"))
 
 
@@ -118,9 +118,14 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
     return ranking.keep_first(lines, LINE_KEY, [c for c in LINE_ORDER if c in lines.columns])
 
 
+def cost_lines(chunks: DataFrame) -> DataFrame:
+    """Deduplicated ad lines. Costs ask for no position, so that join is left out."""
+    return dedup_lines(ad_lines(chunks))
+
+
 def positioned_lines(chunks: DataFrame) -> DataFrame:
     """Deduplicated ad lines with positions; deduplicating first makes the join smaller."""
-    return with_position(dedup_lines(ad_lines(chunks)), booster_lines(chunks))
+    return with_position(cost_lines(chunks), booster_lines(chunks))
 
 
 def daily_positions(lines: DataFrame, campaign: int | None = None) -> DataFrame:

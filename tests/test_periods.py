@@ -97,7 +97,7 @@ def test_separate_maxima(land):
 def test_selectors_against_pandas(spark):
     """Every data-driven period over three years of days, against the definitions in pandas."""
     days = pd.date_range("2021-12-20", "2024-12-31", freq="D")
-    for stop in ("2022-01-02", "2022-01-09", "2023-01-01", "2023-06-30", "2024-01-01", "2024-12-31"):
+    for stop in ("2022-01-02", "2023-01-01", "2023-06-30", "2024-12-31"):
         pdf = pd.DataFrame({"date": days[days <= stop].strftime("%Y-%m-%dT%H:%M:%S")})
         t = pd.to_datetime(pdf["date"])
         iso = t.dt.isocalendar()
