@@ -86,13 +86,15 @@ def _orders(spark, folder, period, mode="reference", stocks=False):
     return articles.orders_by_article(
         px.orders(spark, folder, *px.PRICED),
         px.stocks(spark, folder) if stocks else None,
-        period, AS_OF, mode, **extra,
+        period, AS_OF, mode, catalogue=px.catalogue(spark, folder), **extra,
     )
 
 
 def _sales(spark, folder, period, mode="reference"):
     extra = RANGE if period == "range" else {}
-    return articles.sales_by_article(px.sales(spark, folder, *px.SOLD), period, AS_OF, mode, **extra)
+    return articles.sales_by_article(
+        px.sales(spark, folder, *px.SOLD), period, AS_OF, mode, catalogue=px.catalogue(spark, folder), **extra
+    )
 
 
 def _with_stock_sql(where: str) -> str:
@@ -261,7 +263,7 @@ def _add_feeds(r: Registry) -> None:
           sql(f"""SELECT {stamp}, supplierArticle, totalPrice AS "totalPrice", round(discountPercent,6) AS "discountPercent",
                   warehouseName AS "warehouseName", oblast, subject, category, cancel_dt FROM v_orders""", "v_orders"))
     r.add("scan_sales",
-          lambda s, d: feeds.decode(body(text_dates(px.sales(s, d, *px.SOLD), "date")), "sales")
+          lambda s, d: feeds.decode(body(text_dates(px.sales(s, d, "supplierArticle", *px.SOLD), "date")), "sales")
           .select("date", "supplierArticle", "totalPrice", F.round("discountPercent", 6).alias("discountPercent"), "spp", "IsStorno"),
           sql(f"""SELECT {stamp}, supplierArticle, totalPrice, round(discountPercent,6) AS discountPercent, spp, IsStorno
                   FROM v_sales""", "v_sales"))

@@ -85,7 +85,7 @@ def orders(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return _pick(_dimensions(lines, spark, folder, columns or formulas), formulas, columns)
 
 
-PRICED = ("date", "supplierArticle", "totalPrice", "discountPercent", "cancel_dt")
+PRICED = ("date", "nmId", "totalPrice", "discountPercent", "cancel_dt")
 
 
 def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -93,6 +93,7 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "date": col("l_shipdate"),
         "lastChangeDate": col("l_shipdate"),
         "supplierArticle": col("p_name"),
+        "nmId": col("l_partkey"),
         "totalPrice": col("l_extendedprice"),
         "discountPercent": col("l_discount") * 100,
         "promoCodeDiscount": col("l_tax") * 100,
@@ -111,10 +112,16 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 SOLD = (
-    "date", "supplierArticle", "totalPrice", "discountPercent", "promoCodeDiscount", "spp", "IsStorno",
+    "date", "nmId", "totalPrice", "discountPercent", "promoCodeDiscount", "spp", "IsStorno",
 )
 
 
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(
+        col("p_partkey").alias("nmId"), col("p_name").alias("supplierArticle")
+    )
+
+
 def stocks(spark: SparkSession, folder: str) -> DataFrame:
     """One article is left out, so that the stock join has an article without stock."""
     return (

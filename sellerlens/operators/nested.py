@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 def suffixed(kind: T.StructType, struct: str, suffix: str, drop: tuple[str, ...] = ()) -> list[Column]:
     """The fields of a struct column, each named with a suffix."""
-    return [F.col(struct).getField(f).alias(f + suffix) for f in kind.fieldNames() if f not in drop]
+    return [F.col(f"{struct}.{f}").alias(f + suffix) for f in kind.fieldNames() if f not in drop]
 
 
 def flatten_struct(df: DataFrame, separator: str = "_") -> DataFrame:

@@ -47,6 +47,25 @@ def stock_by_article(stocks: DataFrame) -> DataFrame:
     return grouping.sums(stocks, [ARTICLE], ["quantity"]).withColumnRenamed("quantity", "stock")
 
 
+def per_article(priced: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Count and sum of prices per article.
+
+    A feed landed without the article brings its product instead, and ``catalogue`` (one row per
+    ``nmId`` with its ``supplierArticle``) names it. Then the rows are added up per product
+    first: a product holding a large share of all rows is combined inside each task, and what is
+    joined is one row per product, never the feed.
+    """
+    if catalogue is None:
+        return grouping.count_and_sum(priced, ARTICLE, AMOUNT)
+    per_product = grouping.count_and_sum(priced, "nmId", AMOUNT)
+    named = per_product.join(catalogue.select("nmId", ARTICLE), "nmId")
+    return (
+        grouping.drop_null_keys(named, ARTICLE)
+        .groupBy(ARTICLE)
+        .agg(F.sum("qty").alias("qty"), F.sum(AMOUNT).alias(AMOUNT))
+    )
+
+
 def orders_by_article(
     orders: DataFrame,
     stocks: DataFrame | None,
@@ -55,6 +74,7 @@ def orders_by_article(
     mode: str = "reference",
     start: Day | None = None,
     end: Day | None = None,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """Number and value of orders per article in a period, with the article's stock.
 
@@ -65,7 +85,7 @@ def orders_by_article(
     chosen = periods.select_period(
         orders, period, as_of=as_of, feed="orders", mode=mode, start=start, end=end
     )
-    report = grouping.count_and_sum(not_cancelled(priced_orders(chosen)), ARTICLE, AMOUNT)
+    report = per_article(not_cancelled(priced_orders(chosen)), catalogue)
     return report if stocks is None else with_stock(report, stocks)
 
 
@@ -80,11 +100,12 @@ def sales_by_article(
     mode: str = "reference",
     start: Day | None = None,
     end: Day | None = None,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     chosen = periods.select_period(
         sales, period, as_of=as_of, feed="sales", mode=mode, start=start, end=end
     )
-    return grouping.count_and_sum(counted_sales(chosen), ARTICLE, AMOUNT)
+    return per_article(counted_sales(chosen), catalogue)
 
 
 def shown(report: DataFrame, k: int = ranking.SHOWN) -> DataFrame:

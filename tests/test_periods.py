@@ -196,3 +196,18 @@ def test_date_bounds_reach_the_scan(spark, tmp_path):
         plan = df._jdf.queryExecution().explainString(mode)
         assert "GreaterThanOrEqual(date," in plan and "unused" not in plan, name
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_catalogue_names_products(spark, land):
+    """Adding up per product before naming it gives the report of a feed that carries the article."""
+    catalogue = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (9, "z")], "nmId bigint, supplierArticle string")
+    names = {1: "a", 2: "a", 3: "b", 4: None, 5: None}
+    feed = [order("2024-03-10", names[n], price, cancel=c) | {"nmId": n}
+            for n in names for price in (10.0, 20.0, None) for c in (NOT_CANCELLED, CANCELLED)]
+    orders = land("orders", feed)
+    whole = articles.orders_by_article(orders, None, "today", "2024-03-10")
+    bare = articles.orders_by_article(orders.drop("supplierArticle"), None, "today", "2024-03-10", catalogue=catalogue)
+    assert rows(bare) == rows(whole) == [("a", 4, 54.0), ("b", 2, 27.0)]
+    hot = orders.drop("supplierArticle").where("nmId = 3")
+    plan = articles.orders_by_article(hot, None, "all", "2024-03-10", catalogue=catalogue)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [nmId") > plan.index("Join")  # below the join, on the feed's side
