@@ -85,6 +85,11 @@ def _class_of(hashes: np.ndarray) -> str | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if len(hashes) else None
 
 
+def _check_of(hashes: np.ndarray) -> int:
+    """16 bits of a class, cheap to send along."""
+    return int((_class_of(hashes) or "0")[-4:], 16)
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = shingle_hashes(batch["text"].tolist())
@@ -99,8 +104,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = pd.DataFrame({"class": batch["class"], "set": shingle_hashes(batch["text"].tolist())})
-        yield out[out["set"].map(_class_of) == out["class"]]  # an id may stand on several texts
+        out = pd.DataFrame({"node": batch["node"], "set": shingle_hashes(batch["text"].tolist())})
+        yield out[out["set"].map(_check_of) == batch["check"]]  # an id may stand on several texts
 
 
 def _estimate(s, t):
@@ -115,8 +120,8 @@ def _near_in_size(m, n):
 
 def _candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose sizes and estimated similarity allow a link."""
-    s = sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    t = sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    s = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    t = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return (
         pairs.distinct().join(s, "a").join(t, "b")
         .where(_near_in_size(F.col("na"), F.col("nb")) & (_estimate(F.col("sa"), F.col("sb")) >= PERCENT / 100 - SLACK))
@@ -125,8 +130,8 @@ def _candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    s = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
-    t = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
+    s = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    t = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(s, "a").join(t, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * PERCENT).select("a", "b")
 
@@ -146,7 +151,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links within one block, or between two, of a list; exact, from the full sets."""
-    rows = rows.drop_duplicates("class").sort_values("class", ignore_index=True)
+    rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
     sizes = rows["set"].map(len).to_numpy()
     owner = np.repeat(np.arange(len(rows)), sizes)
     _, column, holders = np.unique(np.concatenate(list(rows["set"])), return_inverse=True, return_counts=True)
@@ -166,21 +171,21 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     linked = common * 100 >= (sizes[:, None] + sizes[None, :] - common) * PERCENT
     label = forest(linked)
     found = np.flatnonzero(label != np.arange(len(rows)))
-    names = rows["class"].to_numpy()
+    names = rows["node"].to_numpy()
     return pd.DataFrame({"a": names[label[found]], "b": names[found]})
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """``(class, v)``: the lists each class stands in."""
-    retained = classes.select("class", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    """``(node, v)``: the lists each class stands in."""
+    retained = classes.select("node", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     common = retained.groupBy("v").count().where(F.col("count") > COMMON).select("v", F.lit(True).alias("common"))
     marked = retained.join(stored(common, "common"), "v", "left")
-    split = marked.groupBy("class").agg(
+    split = marked.groupBy("node").agg(
         F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("v")))).alias("rare"),
         F.sort_array(F.collect_list(F.when(F.col("common"), F.col("v")))).alias("often"),
     )
     few = F.size("rare") < RARE_SHARE * (F.size("rare") + F.size("often"))
-    return split.select("class", F.explode(F.concat(
+    return split.select("node", F.explode(F.concat(
         F.slice("rare", 1, RARE_KEYS), F.when(few, F.slice("often", 1, COMMON_KEYS)).otherwise(F.array().cast("array<bigint>"))
     )).alias("v"))
 
@@ -188,13 +193,13 @@ def _keys(classes: DataFrame) -> DataFrame:
 def _blocks(long: DataFrame, sets: DataFrame) -> DataFrame:
     """Links in long lists. A class goes to as many tasks as its list has blocks of ``BLOCK``."""
     n = F.ceil(F.col("listed") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), n).cast("int")
-    dealt = long.select("class", "v", n.alias("n"), own.alias("own")).select(
-        "class", "v", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = long.select("node", "v", n.alias("n"), own.alias("own")).select(
+        "node", "v", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     )
-    dealt = dealt.select("class", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.join(sets, "class").groupBy("v", "i", "j").applyInPandas(
-        _block_links, "a string, b string"
+    dealt = dealt.select("node", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets, "node").groupBy("v", "i", "j").applyInPandas(
+        _block_links, "a long, b long"
     )
 
 
@@ -209,53 +214,61 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     by_batches(spark)
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     sketched = stored(narrow.mapInPandas(_sketches, "id long, n long, class string, sketch array<long>"), "sketches")
-    ids = sketched.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.min("n").alias("n"))
-    classes = stored(_classes(sketched, ids), "classes")
+    classes = stored(_classes(sketched), "classes")
 
     listed = _keys(classes)
-    sizes = listed.groupBy("v").agg(F.count("*").alias("listed"), F.min("class").alias("first")).where("listed > 1")
+    sizes = listed.groupBy("v").agg(F.count("*").alias("listed"), F.min("node").alias("first")).where("listed > 1")
     lists = stored(listed.join(sizes, "v"), "lists")
-    first = stored(_candidates(lists.where("class != first").select(F.col("first").alias("a"), F.col("class").alias("b")), classes), "first")
+    star = lists.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = stored(_candidates(star, classes), "first")
     long = lists.where(F.col("listed") > COMMON)
 
-    sets = stored(_sets_of(narrow, sketched, _ends(first).unionByName(long.select("class"))), "sets")
+    sets = stored(_sets_of(narrow, classes, _ends(first).unionByName(long.select("node"))), "sets")
     links = stored(_verified(first, sets), "links")
     roots = components(links)
-    placed = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("v")
     placed = stored(placed.join(open_lists, "v"), "open")
 
     short = placed.where(F.col("listed") <= COMMON)
-    other = short.select("v", F.col("class").alias("b"), F.col("root").alias("root_b"))
-    pairs = short.join(other, "v").where((F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    second = stored(_candidates(pairs.select(F.col("class").alias("a"), "b"), classes), "second")
-    more = _sets_of(narrow, sketched, _ends(second))
-    links = links.unionByName(_verified(second, stored(more, "sets"))).unionByName(
-        _blocks(placed.where(F.col("listed") > COMMON).select("class", "v", "listed"), sets)
+    other = short.select("v", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = short.join(other, "v").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    second = stored(_candidates(pairs.select(F.col("node").alias("a"), "b"), classes), "second")
+    more = stored(_sets_of(narrow, classes, _ends(second)), "sets")
+    links = links.unionByName(_verified(second, more)).unionByName(
+        _blocks(placed.where(F.col("listed") > COMMON).select("node", "v", "listed"), sets)
     )
-    return _labelled(sketched, ids, components(stored(links, "links")))
+    return _labelled(sketched, classes, components(stored(links, "links")))
 
 
-def _classes(sketched: DataFrame, ids: DataFrame) -> DataFrame:
-    """One sketch per class: that of a row with the class's smallest id."""
-    one = sketched.select(F.col("class"), F.col("id").alias("least"), "sketch")
-    return ids.join(one, ["class", "least"]).select("class", "n", "sketch").dropDuplicates(["class"])
+def _classes(sketched: DataFrame) -> DataFrame:
+    """Classes with a short number each, their smallest id, and the sketch of one of its rows."""
+    least = sketched.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
+    one = sketched.select("class", F.col("id").alias("least"), "n", "sketch")
+    # Numbers follow the partitions' order of rows, and are fixed once the table is written.
+    return least.join(one, ["class", "least"]).dropDuplicates(["class"]).withColumn("node", F.monotonically_increasing_id())
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
 
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, set)`` for the wanted classes, from the text of one document of each.
 
-def _sets_of(docs: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(class, set)`` for the wanted classes, from the text of one document of each."""
-    chosen = sketched.join(wanted.distinct(), "class").groupBy("class").agg(F.min("id").alias("id"))
-    return docs.join(stored(chosen, "chosen"), "id").select("class", "text").mapInPandas(
-        _full_sets, "class string, set array<long>"
-    ).dropDuplicates(["class"])
+    Rows that repeat an id give their set as often, which repeats links and changes nothing. The list
+    of wanted documents is kept narrow, for where it is small Spark can send it to all tasks,
+    and the texts aren't shuffled.
+    """
+    check = F.conv(F.substring("class", -4, 4), 16, 10).cast("int").alias("check")
+    chosen = classes.join(wanted.distinct(), "node").select(F.col("least").alias("id"), "node", check)
+    return docs.join(stored(chosen, "chosen"), "id").select("node", "check", "text").mapInPandas(
+        _full_sets, "node long, set array<long>"
+    )
 
 
-def _labelled(sketched: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
-    rooted = ids.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _labelled(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    rooted = classes.select("class", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
