@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerlens.catalog import proxies as px
@@ -12,6 +14,7 @@ from sellerlens.catalog.views_sql import sql
 from sellerlens.functions import dates, pricing, text
 from sellerlens.operators import backfill, nested
 from sellerlens.plans import ads, keywords, order_stats, remains, settlement, slots
+from sellerlens.session import shared_dir
 from sellerlens.sources import feeds
 from sellerlens.streaming import slot_alerts
 
@@ -266,6 +269,13 @@ def _add_settlement(r: Registry) -> None:
                           sales=2, returns=2, net=2, tax=4),
           sql(f"""SELECT round({sold},2) AS sales, round({back},2) AS returns, round({sold}-{back},2) AS net,
                   round(({sold}-{back})*0.06,4) AS tax, strftime(MIN(date_from),'%Y-%m-%d') AS first_date FROM v_settlement""", "v_settlement"))
+    pages = lambda s, d: settlement.landed(settlement.typed(px.settlement_pages(s, d)), "landed")
+    r.add("settlement_net_tax_overlap",
+          lambda s, d: _r(settlement.net_and_tax(pages(s, d)).withColumn("first_date", dates.iso_day("first_date")),
+                          sales=2, returns=2, net=2, tax=4),
+          sql(f"""SELECT round({sold},2) AS sales, round({back},2) AS returns, round({sold}-{back},2) AS net,
+                  round(({sold}-{back})*0.06,4) AS tax, strftime(MIN(date_from),'%Y-%m-%d') AS first_date FROM v_pages""", "v_pages"))
+    r.add("settlement_labels_overlap", lambda s, d: settlement.labels(pages(s, d)), sql("SELECT * FROM v_labels", "v_labels"))
     r.add("settlement_first_date", lambda s, d: settlement.first_date(lines(s, d)).select(*_iso("first_date")),
           sql("SELECT strftime(MIN(date_from),'%Y-%m-%d') AS first_date FROM v_settlement", "v_settlement"))
 
@@ -292,7 +302,21 @@ def _add_slots(r: Registry) -> None:
     r.add("warehouse_lookup", lambda s, d: feeds.lookup(px.warehouses(s, d), "name", "Supplier#000000007"),
           """SELECT s_suppkey AS "ID", s_name AS name, CAST(s_nationkey AS VARCHAR) AS address, s_acctbal > 0 AS "acceptsQR"
              FROM supplier WHERE s_name = 'Supplier#000000007'""")
-    r.add("slot_alerts_stream", slot_alerts.run_over_table, sql(search.format(where=SLOT_WHERE), "v_slots"))
+    r.add("slot_alerts_stream", alerts_over_table, sql(search.format(where=SLOT_WHERE), "v_slots"))
+
+
+def alerts_over_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All snapshots of the test table through the stream, then the alerts it wrote."""
+    # As a pattern the path may name one file as well as a folder of files.
+    stream = spark.readStream.schema(px.TABLES["orders"]).option("maxFilesPerTrigger", 64).parquet(f"{folder}/orders.parquet*")
+    run = f"{shared_dir(spark)}/slot-alerts/{uuid.uuid4().hex}"
+    query = slot_alerts.start(
+        px.slots(stream), f"{run}/alerts", f"{run}/checkpoint", f"{run}/metrics", available_now=True, **SLOT_RULE,
+    )
+    if not query.awaitTermination(3600):
+        query.stop()
+        raise TimeoutError("the slot stream did not end within an hour")
+    return slot_alerts.read_alerts(spark, f"{run}/alerts").drop("run", "batch", "line")
 
 
 # --- remains and back-fill -------------------------------------------------------------------

@@ -107,7 +107,7 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "priceWithDisc": col("l_extendedprice") * (1 - col("l_discount")),
         "IsStorno": F.when(col("l_returnflag") == "R", 1).otherwise(0),
     }
-    lines = table(spark, folder, "lineitem").where(col("l_linestatus") == "F")
+    lines = table(spark, folder, "lineitem")
     return _pick(_dimensions(lines, spark, folder, columns or formulas), formulas, columns)
 
 
@@ -123,16 +123,11 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stocks(spark: SparkSession, folder: str) -> DataFrame:
-    """One article is left out, so that the stock join has an article without stock."""
-    return (
-        table(spark, folder, "part")
-        .where(col("p_name") != "blue anvil")
-        .select(
-            col("p_name").alias("supplierArticle"),
-            col("p_partkey").alias("nmId"),
-            col("p_size").cast("bigint").alias("quantity"),
-            col("p_type").alias("warehouseName"),
-        )
+    return table(spark, folder, "part").select(
+        col("p_name").alias("supplierArticle"),
+        col("p_partkey").alias("nmId"),
+        col("p_size").cast("bigint").alias("quantity"),
+        col("p_type").alias("warehouseName"),
     )
 
 
@@ -271,6 +266,13 @@ def settlement(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def settlement_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The settlement feed as landed pages: every fifth line landed again with another amount."""
+    lines = settlement(spark, folder)
+    again = lines.where(col("rrd_id") % 5 == 0).withColumn("ppvz_for_pay", col("ppvz_for_pay") + 1)
+    return lines.withColumn("landed", lit(1)).unionByName(again.withColumn("landed", lit(2)))
+
+
 def slots(orders_table: DataFrame) -> DataFrame:
     """Takes the table, so that it serves a batch and a stream of it alike."""
     return orders_table.select(

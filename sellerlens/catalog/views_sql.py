@@ -27,11 +27,11 @@ VIEWS = {
                     THEN year(l_shipdate)*100+week(l_shipdate)-100
                     ELSE year(l_shipdate)*100+week(l_shipdate) END AS yearweek,
                week(l_shipdate) AS week, month(l_shipdate) AS month, year(l_shipdate) AS year
-        FROM lineitem LEFT JOIN part ON l_partkey=p_partkey WHERE l_linestatus='F'
+        FROM lineitem LEFT JOIN part ON l_partkey=p_partkey
     """,
     "v_stocks": """
         SELECT p_name AS supplierArticle, p_partkey AS nmId, CAST(p_size AS BIGINT) AS quantity
-        FROM part WHERE p_name <> 'blue anvil'
+        FROM part
     """,
     "v_stock": "SELECT supplierArticle, CAST(SUM(quantity) AS BIGINT) AS stock FROM v_stocks GROUP BY 1",
     "v_ads": """
@@ -103,6 +103,9 @@ VIEWS = {
                o_totalprice AS ppvz_for_pay
         FROM orders
     """,
+    "v_pages": """
+        SELECT * REPLACE (CASE WHEN rrd_id % 5 = 0 THEN ppvz_for_pay + 1 ELSE ppvz_for_pay END AS ppvz_for_pay) FROM v_settlement
+    """,
     "v_labels": """
         SELECT realizationreport_id, CASE WHEN rn=1 THEN 'ru' ELSE 'other' END AS region FROM (
             SELECT *, row_number() OVER (PARTITION BY date_from, date_to ORDER BY n DESC, realizationreport_id) AS rn
@@ -164,6 +167,7 @@ NEEDS = {
     "v_stock": ["v_stocks"],
     "v_dedup": ["v_lines"],
     "v_labels": ["v_settlement"],
+    "v_pages": ["v_settlement"],
     "v_items": ["v_campaigns"],
 }
 

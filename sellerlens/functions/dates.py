@@ -11,7 +11,9 @@ Day = dt.date | str
 
 
 def to_day(value: Day) -> dt.date:
-    return value if isinstance(value, dt.date) else dt.date.fromisoformat(value)
+    if isinstance(value, dt.datetime):
+        return value.date()
+    return value if isinstance(value, dt.date) else dt.date.fromisoformat(value[:10])
 
 
 def literal_like(df: DataFrame, column: str, value) -> Column:

@@ -94,9 +94,13 @@ def _auto_items() -> tuple[Column, Column]:
 
 
 def _united_items() -> Column:
-    def per_block(block: Column) -> Column:
+    def with_names(block: Column) -> Column:
         products = _or_empty(block["nms"], "bigint")
-        joined = F.array_join(F.transform(products, lambda nm: nm.cast("string")), ", ")
+        names = F.array_join(F.transform(products, lambda nm: nm.cast("string")), ", ")
+        return F.struct(block.alias("block"), products.alias("products"), names.alias("names"))
+
+    def per_block(pair: Column) -> Column:
+        block, products, joined = pair["block"], pair["products"], pair["names"]
         return F.transform(
             products,
             lambda nm: _item(
@@ -109,7 +113,8 @@ def _united_items() -> Column:
             ),
         )
 
-    return F.flatten(F.transform(F.col("unitedParams"), per_block))
+    # The names are joined once per block, outside the lambda over its products.
+    return F.flatten(F.transform(F.transform(F.col("unitedParams"), with_names), per_block))
 
 
 def _auction_items() -> Column:

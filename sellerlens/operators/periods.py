@@ -23,12 +23,25 @@ Bucket = Callable[[Column], Column]
 
 # --- dated -----------------------------------------------------------------------------------
 
+# Partition column of ``sinks.write_by_day``, the day of the feed's ``date``.
+DAY = "day"
+
+
+def _by_day(df: DataFrame, column: str) -> bool:
+    return column == "date" and DAY in df.columns
+
+
 def since(df: DataFrame, column: str, start: Day) -> DataFrame:
+    """``column >= start``; on a table partitioned by day, only from the first such day."""
+    if _by_day(df, column):
+        df = df.where(F.col(DAY) >= F.lit(to_day(start)))
     return df.where(F.col(column) >= literal_like(df, column, start))
 
 
 def between(df: DataFrame, column: str, start: Day, end: Day) -> DataFrame:
     """Half-open: ``start <= column < end``."""
+    if _by_day(df, column):
+        df = df.where((F.col(DAY) >= F.lit(to_day(start))) & (F.col(DAY) <= F.lit(to_day(end))))
     return df.where(
         (F.col(column) >= literal_like(df, column, start))
         & (F.col(column) < literal_like(df, column, end))
@@ -71,13 +84,14 @@ def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0) ->
     whose plain comparison is the part the scan can use. Sorting by both columns keeps the two
     subqueries the same up to their last projection, so the aggregate runs once.
     """
-    keyed = df.select(F.col(column).alias("d"), bucket(F.col(column)).alias("b")).where("b IS NOT NULL")
+    seen = DAY if _by_day(df, column) else column  # with day partitions their values are enough
+    keyed = df.select(F.col(seen).alias("d"), bucket(F.col(seen)).alias("b")).where("b IS NOT NULL")
     found = (
         keyed.groupBy("b").agg(F.min("d").alias("d"))
         .orderBy(F.desc("b"), "d").offset(skip).limit(1)
     )
     first_day, newest = found.select("d").scalar(), found.select("b").scalar()
-    return df.where((F.col(column) >= first_day) & (bucket(F.col(column)) == newest))
+    return df.where((F.col(seen) >= first_day) & (bucket(F.col(column)) == newest))
 
 
 def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0) -> DataFrame:
@@ -87,15 +101,16 @@ def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0) ->
     in a year this selects nothing, since an earlier year reached a higher number. The newest
     year enters as its first date, which the scan can use; one aggregate serves both scalars.
     """
+    seen = DAY if _by_day(df, column) else column
     keyed = df.select(
-        F.col(column).alias("d"), F.year(dates.ts(column)).alias("y"), part(F.col(column)).alias("n")
+        F.col(seen).alias("d"), F.year(dates.ts(seen)).alias("y"), part(F.col(seen)).alias("n")
     ).where("y IS NOT NULL")
     per_year = keyed.groupBy("y").agg(F.min("d").alias("d"), F.max("n").alias("n"))
     first_day = per_year.orderBy(F.desc("y"), "d", "n").limit(1).select("d").scalar()
     top_number = per_year.orderBy(F.desc("n"), "d", "y").limit(1).select("n").scalar()
     number = part(F.col(column))
     hit = number >= top_number if shift == 0 else number == top_number - shift
-    return df.where((F.col(column) >= first_day) & hit)
+    return df.where((F.col(seen) >= first_day) & hit)
 
 
 def week_number(column: Column) -> Column:

@@ -26,6 +26,8 @@ def filtered(remains: DataFrame, volume: int = ANY_VOLUME) -> DataFrame:
         return remains.where(F.col("volume").isNull())
     if volume == LARGE:
         return remains.where(F.col("volume") > 3)
+    if volume != ANY_VOLUME:
+        raise ValueError(f"volume {volume!r}: expected {NO_VOLUME}, {ANY_VOLUME} or {LARGE}")
     return remains
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sellerlens.functions.dates import day_of, iso_day
@@ -22,6 +22,18 @@ def typed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({c: day_of(c) for c in PERIOD})
 
 
+def landed(lines: DataFrame, sequence: str, key: str = "rrd_id") -> DataFrame:
+    """Each line once where landed pages overlap: the version with the highest landing sequence.
+
+    The base of every report over paged lines. One row per key and task is left before the shuffle, so
+    that it costs one pass over distinct lines; equal sequences are told apart by the whole row. Lines
+    without a key can't be told apart and all stay.
+    """
+    latest = Window.partitionBy(key).orderBy(F.desc(sequence), *[F.desc(c) for c in sorted(lines.columns) if c not in (key, sequence)])
+    keyed = lines.where(F.col(key).isNotNull()).withColumn("__nth", F.row_number().over(latest)).where("__nth = 1").drop("__nth")
+    return keyed.unionByName(lines.where(F.col(key).isNull()))
+
+
 # Stands for a missing date while grouping, so that no key is null.
 NO_DATE = "0001-01-01"
 
@@ -87,6 +99,7 @@ def labels(lines: DataFrame) -> DataFrame:
 
 def report_index(lines: DataFrame) -> DataFrame:
     """One row per report: label, first and last date, and the name its export carries."""
+    # Fixed value: the pattern of a report's name.
     name = F.format_string(
         "id_%s_from_%s_to_%s_reg_%s",
         F.col(REPORT).cast("string"),

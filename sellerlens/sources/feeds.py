@@ -20,6 +20,35 @@ def feed_schema(feed: str, schema: T.StructType | None = None) -> T.StructType:
     return FEEDS[feed]
 
 
+# Flags that bodies hold as 0 and 1 or as booleans. They are read as text and made one type here.
+FLAGS = {"sales": ("IsStorno",), "orders": ("isRealization",)}
+
+
+def _text_flags(feed: str, schema: T.StructType) -> T.StructType:
+    fields = [T.StructField(f.name, T.StringType() if f.name in FLAGS.get(feed, ()) else f.dataType) for f in schema]
+    return T.StructType(fields)
+
+
+def flag(column: str) -> Column:
+    """1 and 0 from numbers or booleans held as text; anything else is NULL."""
+    text = F.lower(F.trim(column))
+    return F.when(text.isin("1", "true", "1.0"), 1).when(text.isin("0", "false", "0.0"), 0)
+
+
+def _typed_flags(df: DataFrame, feed: str, schema: T.StructType) -> DataFrame:
+    return df.withColumns({c: flag(c).cast(schema[c].dataType) for c in FLAGS.get(feed, ()) if c in schema.names})
+
+
+def rejects(raw: DataFrame, feed: str, column: str = "payload", schema: T.StructType | None = None) -> DataFrame:
+    """Bodies that ``decode`` can't read: text that isn't JSON, or a value of the wrong type.
+
+    Null and blank bodies aren't rejects, they hold nothing.
+    """
+    kind = _text_flags(feed, feed_schema(feed, schema)).add("_corrupt_record", T.StringType())
+    parsed = F.from_json(F.col(column), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.where(F.trim(column) != "").where(parsed["_corrupt_record"].isNotNull())
+
+
 def read_feed(
     spark: SparkSession,
     feed: str,
@@ -33,10 +62,11 @@ def read_feed(
     One JSON object per line is splittable and the form to land at scale. ``multiline=True``
     accepts a whole response body per file, where one file is one task.
     """
-    reader = spark.read.schema(feed_schema(feed, schema))
-    if format == "json":
-        reader = reader.option("multiLine", multiline)
-    return reader.format(format).load(list(paths))
+    kind = feed_schema(feed, schema)
+    if format != "json":
+        return spark.read.schema(kind).format(format).load(list(paths))
+    reader = spark.read.schema(_text_flags(feed, kind)).option("multiLine", multiline)
+    return _typed_flags(reader.format(format).load(list(paths)), feed, kind)
 
 
 def stream_feed(
@@ -60,8 +90,9 @@ def decode(raw: DataFrame, feed: str, column: str = "payload", schema: T.StructT
     Works on any source that delivers raw bodies (text files, a queue); other columns are
     dropped, rows whose body is not valid JSON come out as all NULL like the file reader does.
     """
-    parsed = F.from_json(F.col(column), feed_schema(feed, schema)).alias("__row")
-    return raw.select(parsed).select("__row.*")
+    kind = feed_schema(feed, schema)
+    parsed = F.from_json(F.col(column), _text_flags(feed, kind)).alias("__row")
+    return _typed_flags(raw.select(parsed).select("__row.*"), feed, kind)
 
 
 def decode_array(

@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sellerlens.functions import text
 from sellerlens.plans import slots
-from sellerlens.session import shared_dir
 
 POLL = "12 seconds"
 METRICS_EVERY = 25
 
 
-def _write_batch(alerts: str, metrics: str | None):
+def _write_batch(alerts: str, metrics: str | None, run: str):
     """Sink of one micro-batch.
 
-    Each batch overwrites its own folder, so a batch replayed after a failure leaves the same
-    rows once. A batch without a match writes nothing.
+    Each batch overwrites its own folder, so a batch replayed after a failure leaves the same rows
+    once. Folders also carry the run, which is the same over restarts from one checkpoint and another
+    one for each checkpoint: numbering batches anew never overwrites earlier alerts. A batch without a
+    match writes nothing.
     """
 
     def write(found: DataFrame, batch: int) -> None:
         found.persist()
         try:
             if not found.isEmpty():
-                found.write.mode("overwrite").parquet(f"{alerts}/batch={batch}")
+                found.write.mode("overwrite").parquet(f"{alerts}/run={run}/batch={batch}")
             if metrics and batch % METRICS_EVERY == 0:
                 found.agg(
                     F.lit(batch).cast("bigint").alias("polls"),
                     F.count(F.lit(1)).alias("matches"),
                     F.current_timestamp().alias("at"),
-                ).write.mode("overwrite").parquet(f"{metrics}/batch={batch}")
+                ).write.mode("overwrite").parquet(f"{metrics}/run={run}/batch={batch}")
         finally:
             found.unpersist()
 
     return write
 
 
+def read_alerts(spark: SparkSession, alerts: str) -> DataFrame:
+    """All alerts written so far, with the ``run`` and ``batch`` that wrote them; none is an empty table."""
+    return spark.read.option("basePath", alerts).parquet(f"{alerts}/run=*")
+
+
 def start(
     snapshots: DataFrame,
     alerts: str,
@@ -50,25 +57,13 @@ def start(
 ) -> StreamingQuery:
     """Watch a stream of slot snapshots; every snapshot with a match alerts again.
 
-    The search is stateless, so restart from the checkpoint needs no state and repeats nothing.
+    The search is stateless, so restart from the checkpoint needs no state and repeats nothing. Alerts
+    carry their message line. An empty first batch makes the alerts readable before the first match.
     """
     found = slots.slot_search(snapshots, **rule)
-    writer = found.writeStream.foreachBatch(_write_batch(alerts, metrics)).option("checkpointLocation", checkpoint)
+    found = found.withColumn("line", text.slot_line())
+    run = f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+    snapshots.sparkSession.createDataFrame([], found.schema).write.mode("overwrite").parquet(f"{alerts}/run={run}/batch=-1")
+    writer = found.writeStream.foreachBatch(_write_batch(alerts, metrics, run)).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": poll}
     return writer.trigger(**trigger).start()
-
-
-def run_over_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All snapshots of the test table through the stream, then the alerts it wrote."""
-    from sellerlens.catalog import proxies
-    from sellerlens.catalog.feed_queries import SLOT_RULE
-
-    # As a pattern the path may name one file as well as a folder of files.
-    stream = spark.readStream.schema(proxies.TABLES["orders"]).parquet(f"{folder}/orders.parquet*")
-    run = f"{shared_dir(spark)}/slot-alerts/{uuid.uuid4().hex}"
-    query = start(
-        proxies.slots(stream), f"{run}/alerts", f"{run}/checkpoint", f"{run}/metrics",
-        available_now=True, **SLOT_RULE,
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{run}/alerts").drop("batch")

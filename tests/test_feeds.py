@@ -84,3 +84,39 @@ def test_other_sinks(spark, tmp_path, land):
     registry = spark.createDataFrame([("u", "old", 1), ("u", "new", 2)], "user_id string, user_api string, seq bigint")
     sinks.write_registry(registry, str(tmp_path / "registry"))
     assert rows(spark.read.parquet(str(tmp_path / "registry"))) == [("u", "new", 2)]
+
+
+def test_flags_as_numbers_or_booleans(land):
+    sales = [{"supplierArticle": "a", "totalPrice": 10.0, "discountPercent": 0.0, "promoCodeDiscount": 0.0, "spp": 0.0, "IsStorno": v}
+             for v in (0, False, 1, True, None)]
+    from sellerlens.plans import articles
+
+    table = land("sales", sales)
+    assert dict(table.dtypes)["IsStorno"] == "int"
+    assert articles.counted_sales(table).count() == 2
+
+
+def test_rejects(spark):
+    raw = spark.createDataFrame([('{"supplierArticle":"a","quantity":1}',), ("{broken",), ('{"quantity":"x"}',), ("",), (None,)], "payload string")
+    assert sorted(r["payload"] for r in feeds.rejects(raw, "stocks").collect()) == ['{"quantity":"x"}', "{broken"]
+
+
+def test_reports_prune_day_partitions(spark, tmp_path):
+    from sellerlens.operators import periods
+    from sellerlens.sources import sinks
+
+    days = [f"2025-0{m}-{d:02d}" for m in (2, 3) for d in (1, 9, 20, 22)]
+    facts = spark.createDataFrame([(d + "T10:00:00", i) for i, d in enumerate(days)], "date string, v int")
+    sinks.write_by_day(facts, str(tmp_path / "facts"))
+    stored = spark.read.parquet(str(tmp_path / "facts"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    cases = [("orders", n, m) for n in ("today", "yesterday", "last_30", "this_week", "prev_week", "this_month", "prev_month")
+             for m in ("reference", "calendar")] + [("sales", "prev_month", "reference"), ("series", "last_7", "reference")]
+    for feed, name, mode in cases:
+        pruned = periods.select_period(stored, name, as_of="2025-03-22", feed=feed, mode=mode)
+        whole = periods.select_period(facts, name, as_of="2025-03-22", feed=feed, mode=mode)
+        assert "PartitionFilters: [isnotnull(day" in plan(pruned) or "PartitionFilters: [(day" in plan(pruned), (feed, name, mode)
+        assert sorted(r["v"] for r in pruned.collect()) == sorted(r["v"] for r in whole.collect()), (feed, name, mode)

@@ -106,3 +106,19 @@ def test_hot_report_is_split_over_files(spark, tmp_path):
     folder = tmp_path / "hot" / "region=ru" / "realizationreport_id=0"
     assert len(list(folder.glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "hot")).count() == 300000
+
+
+def test_latest_page_wins(spark):
+    from sellerlens.plans import settlement
+
+    lines = spark.createDataFrame([(1, 10.0, 1), (1, 12.0, 2), (2, 5.0, 1), (None, 3.0, 1), (None, 3.0, 1)], "rrd_id long, ppvz_for_pay double, landed int")
+    assert sorted(r["ppvz_for_pay"] for r in settlement.landed(lines, "landed").collect()) == [3.0, 3.0, 5.0, 12.0]
+
+
+def test_unknown_volume(spark):
+    import pytest
+
+    from sellerlens.plans import remains
+
+    with pytest.raises(ValueError):
+        remains.filtered(spark.createDataFrame([(1.0,)], "volume double"), 7)

@@ -1,4 +1,5 @@
 import json
+import os
 
 from sellerlens.functions import text
 from sellerlens.plans import slots
@@ -30,8 +31,11 @@ def test_limits(land):
 def test_message(land):
     table = land("slots", [slot(0, name="Очень длинное имя склада"), slot(1000)])
     got = [r["line"] for r in slots.slot_message(slots.slot_search(table, max_coefficient=20)).orderBy("part", "line").collect()]
-    head = f"{'Дата':<10} | {'k':<1} | {'Склад':<15} | {'k дост':<6} | {'₽ дост':<6}"
-    assert got == [head, "-" * len(head), f"01-05-2025 | 0 | {'Очень длинное имя склада'[:15]:<15} | {'160':<6} | {'48':<6}"]
+    assert got == [
+        "Дата       | k | Склад           | k дост | ₽ дост",
+        "--------------------------------------------------",
+        "01-05-2025 | 0 | Очень длинное и | 160    | 48    ",
+    ]
     none = slots.slot_message(slots.slot_search(table.where("coefficient < 0")))
     assert [r["line"] for r in none.collect()] == [text.NO_SLOTS]
 
@@ -39,6 +43,8 @@ def test_message(land):
 def _drop(folder, name, objects):
     staged = folder.parent / f"{name}.tmp"
     staged.write_text("\n".join(json.dumps(o, ensure_ascii=False) for o in objects), encoding="utf-8")
+    landed = 1_700_000_000 + int(name[1:])  # files land in order of their number
+    os.utime(staged, (landed, landed))
     staged.replace(folder / f"{name}.json")
 
 
@@ -52,7 +58,7 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
         query = slot_alerts.start(
             stream, str(tmp_path / "alerts"), str(tmp_path / "ckpt"), str(tmp_path / "metrics"), available_now=True, **rule)
         query.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "alerts"))
+        return slot_alerts.read_alerts(spark, str(tmp_path / "alerts"))
 
     _drop(landing, "s1", SNAPSHOT)
     _drop(landing, "s2", [slot(-1)])
@@ -66,3 +72,22 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     # The same slot alerts again with the next snapshot; a snapshot without a match leaves nothing.
     assert again.count() == 4 and again.select("batch").distinct().count() == 3
     assert rows(spark.read.parquet(str(tmp_path / "metrics")), "polls", "matches") == [(0, 2)]
+
+
+def test_second_checkpoint_keeps_earlier_alerts(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    alerts = str(tmp_path / "alerts")
+
+    def poll(checkpoint):
+        stream = feeds.stream_feed(spark, "slots", str(landing))
+        slot_alerts.start(stream, alerts, str(tmp_path / checkpoint), available_now=True, max_coefficient=20).awaitTermination()
+        return slot_alerts.read_alerts(spark, alerts)
+
+    _drop(landing, "s0", [slot(30)])
+    none = poll("one")
+    assert none.count() == 0 and "line" in none.columns
+    _drop(landing, "s1", [slot(3), slot(4)])
+    assert poll("one").count() == 2
+    assert poll("two").count() == 4  # a new checkpoint reads all again and overwrites nothing
+    assert poll("two").where("coefficient = 3").select("line").distinct().count() == 1
