@@ -53,7 +53,7 @@ def weights(docs: DataFrame, source: str = "source", text: str = "text", gap: fl
         F.sort_array(F.collect_list(F.col("n_tokens").cast("double"))).alias("sizes"), F.sum("n_tokens").cast("double").alias("total")
     )
     # Logarithms of the shares, relative to the largest.
-    logs = some.select("total", F.transform("sizes", lambda s: F.ln(s / F.element_at("sizes", -1))).alias("logs"), "sizes")
+    logs = some.where("total IS NOT NULL").select("total", F.transform("sizes", lambda s: F.ln(s / F.element_at("sizes", -1))).alias("logs"), "sizes")
     one = F.aggregate(
         F.sequence(F.lit(1), F.lit(STEPS)),
         F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
@@ -74,7 +74,7 @@ def weights(docs: DataFrame, source: str = "source", text: str = "text", gap: fl
         "total", F.round(F.when(fits(F.col("alpha_e")), F.col("alpha_e")).otherwise(two["hi"]), 9).alias("alpha"), "logs",
         F.element_at("sizes", -1).alias("largest"),
     ).select("total", "alpha", "largest", _norm(F.col("logs"), F.col("alpha")).alias("norm")).first()
-    if chosen is None or chosen["total"] is None:
+    if chosen is None:
         return sizes.select("*", F.lit(1.0).alias("alpha"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("share"))
     raw = F.exp(F.lit(chosen["alpha"]) * F.ln(F.col("n_tokens") / F.lit(chosen["largest"]))) / F.lit(chosen["norm"])
     weight = F.when(F.col("n_tokens") > 0, F.round(raw, 12)).otherwise(F.lit(0.0))
