@@ -110,8 +110,10 @@ def _compared(model: Quantiser):
         close = model.table_distances(q, here, codes) <= allowed[None, :]
         # A pair of two lists that see each other is judged in the smaller list, one of the same list once.
         theirs = queries["list"].to_numpy()
-        seen = {int(t): members["probes"].map(lambda p, t=t: t in p).to_numpy() for t in np.unique(theirs)}
-        back = np.stack([seen[int(t)] for t in theirs])
+        probed = np.zeros((len(members), len(model.centre)), bool)
+        at = members["probes"].map(len).to_numpy()
+        probed[np.repeat(np.arange(len(members)), at), np.concatenate(list(members["probes"])).astype(int)] = True
+        back = probed.T[theirs]
         m, n = members["node"].to_numpy(), queries["node"].to_numpy()
         mine = np.where((theirs == here)[:, None], n[:, None] < m[None, :], ~back | (theirs > here)[:, None])
         i, j = np.nonzero(close & mine)
