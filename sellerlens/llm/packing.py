@@ -83,9 +83,14 @@ def pieces(lengths: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
     })
 
 
-def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
+def packed(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
+    vocabulary: str | None = None, with_ids: bool = True,
+) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
 
+    Without ``with_ids`` the column ``ids`` is left out, and no id leaves the Python worker.
+
     A null text counts as empty (its piece is the end id), a null id sorts first, rows that repeat an
     id are documents of their own and follow in order of their text, texts of any length are cut, and
     no rows give no pieces. Other columns are not looked at.
@@ -110,13 +115,17 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for at in range(0, len(out), 1000):  # a few sequences at a time go back to the JVM
             some = out.iloc[at : at + 1000]
             held = [stream[b : b + n] for b, n in zip(some["begin"], some["length"], strict=True)]
-            yield pd.DataFrame({
+            rows = pd.DataFrame({
                 "doc_id": name.iloc[some["doc"]].array, "start": some["start"].array, "length": some["length"].array,
-                "ids": held, "ids_crc32": [tokens.crc(i) for i in held], "doc_tokens": lengths[some["doc"]],
+                "ids_crc32": [tokens.crc(i) for i in held], "doc_tokens": lengths[some["doc"]],
                 "part": part, "sequence_id": some["window"].array, "offset": some["offset"].array,
             })
+            if with_ids:
+                rows.insert(3, "ids", held)
+            yield rows
 
-    kinds = "doc_id long, start long, length long, ids array<long>, ids_crc32 long, doc_tokens long, part int, sequence_id long, offset long"
+    ids_kind = "ids array<long>, " if with_ids else ""
+    kinds = f"doc_id long, start long, length long, {ids_kind}ids_crc32 long, doc_tokens long, part int, sequence_id long, offset long"
     return in_id_order(docs, id_column, text_column).mapInPandas(run, kinds)
 
 
@@ -129,5 +138,4 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
     """``packed`` with sequence ids over the whole corpus; ``ids`` only if asked for."""
-    rows = packed(docs, id_column, text_column)
-    return numbered(stored(rows if with_ids else rows.drop("ids"), "pieces"))
+    return numbered(stored(packed(docs, id_column, text_column, with_ids=with_ids), "pieces"))
