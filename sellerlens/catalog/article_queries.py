@@ -74,7 +74,7 @@ KEPT = "IsStorno = 0 AND price > 0"
 
 
 def _report_sql(view: str, where: str) -> str:
-    digits = SALES_DIGITS if view == "v_sales" else ORDER_DIGITS
+    digits = SALES_DIGITS if view.startswith("v_sales") else ORDER_DIGITS
     return f"""
         SELECT supplierArticle, COUNT(price) AS qty, round(SUM(price), {digits}) AS "PriceWithDiscount"
         FROM {view} WHERE supplierArticle IS NOT NULL AND {where} GROUP BY 1
@@ -164,6 +164,57 @@ def _add_reports(r: Registry) -> None:
           sql("SELECT round(COALESCE(SUM(price),0),4) AS revenue FROM v_orders WHERE yearweek = 200101", "v_orders"))
 
 
+def _add_sellers(r: Registry) -> None:
+    """The reports once per seller, each with its own newest week or month and its own top 50."""
+    by = ["seller"]
+    named = lambda s, d: px.catalogue(s, d)
+    orders = lambda s, d, period: articles.orders_by_article(
+        px.orders(s, d, *px.PRICED, "seller"), None, period, AS_OF, catalogue=named(s, d), by=by)
+    sales = lambda s, d, period: articles.sales_by_article(
+        px.sales(s, d, *px.SOLD, "seller"), period, AS_OF, catalogue=named(s, d), by=by)
+    report = """SELECT seller, supplierArticle, COUNT(price) AS qty, round(SUM(price), {digits}) AS "PriceWithDiscount"
+                FROM {view} v WHERE supplierArticle IS NOT NULL AND {where} GROUP BY 1, 2"""
+    newest = "yearweek = (SELECT MAX(yearweek) FROM v_orders m WHERE m.seller = v.seller)"
+    r.add("orders_by_article_this_week_by_seller", lambda s, d: _rounded(orders(s, d, "this_week")),
+          sql(report.format(digits=ORDER_DIGITS, view="v_orders", where=f"{LIVE} AND {newest}"), "v_orders"))
+    before = """month = (SELECT MAX(month) - 1 FROM v_sales m WHERE m.seller = v.seller)
+                AND year = (SELECT MAX(year) FROM v_sales m WHERE m.seller = v.seller)"""
+    r.add("sales_by_article_prev_month_by_seller", lambda s, d: _rounded(sales(s, d, "prev_month"), SALES_DIGITS),
+          sql(report.format(digits=SALES_DIGITS, view="v_sales", where=f"{KEPT} AND {before}"), "v_sales"))
+    r.add("orders_top50_by_seller", lambda s, d: articles.shown(_rounded(orders(s, d, "all")), by=by),
+          sql(f"""SELECT * FROM ({report.format(digits=ORDER_DIGITS, view="v_orders", where=LIVE)})
+                  QUALIFY row_number() OVER (PARTITION BY seller ORDER BY "PriceWithDiscount" DESC, supplierArticle) <= 50""", "v_orders"))
+    r.add("series_all_by_seller",
+          lambda s, d: _rounded_series(series.orders_vs_sales(
+              px.orders(s, d, "date", "totalPrice", "discountPercent", "seller"),
+              px.sales(s, d, "date", "totalPrice", "discountPercent", "promoCodeDiscount", "spp", "seller"), "all", AS_OF, by=by)),
+          sql(" UNION ALL ".join(
+              f"""SELECT seller, '{label}' AS series, {WEEK_KEY} AS bucket, COUNT(price) AS qty, round(SUM(price), {digits}) AS "PriceWithDiscount"
+                  FROM {view} GROUP BY 1, 3"""
+              for label, view, digits in (("orders", "v_orders", ORDER_DIGITS), ("sales", "v_sales", SALES_DIGITS))), "v_orders", "v_sales"))
+
+
+def _add_year_end(r: Registry) -> None:
+    """Weeks and months found by separate maxima, on a feed whose newest year holds them."""
+    for period in ("this_week", "prev_week", "this_month"):
+        where = SALES_PERIODS[period].replace("v_sales", "v_sales_late")
+        r.add(f"sales_year_end_{period}",
+              lambda s, d, p=period: _rounded(articles.sales_by_article(
+                  px.at_year_end(px.sales(s, d, *px.SOLD)), p, "2004-12-31", catalogue=px.catalogue(s, d)), SALES_DIGITS),
+              sql(_report_sql("v_sales_late", f"{KEPT} AND {where}"), "v_sales_late"))
+    r.add("series_year_end_this_month",
+          lambda s, d: _rounded_series(series.in_order(series.orders_vs_sales(
+              px.at_year_end(px.orders(s, d, "date", "totalPrice", "discountPercent")),
+              px.at_year_end(px.sales(s, d, "date", "totalPrice", "discountPercent", "promoCodeDiscount", "spp")),
+              "this_month", "2004-12-31"))),
+          sql(_series_sql(SERIES["this_month"][1], DAY_KEY).replace("FROM v_orders", "FROM v_orders_late").replace("FROM v_sales", "FROM v_sales_late"),
+              "v_orders_late", "v_sales_late"))
+    r.add("orders_by_article_direct",
+          lambda s, d: _rounded(articles.orders_by_article(
+              px.orders(s, d, *px.PRICED, "supplierArticle"), px.stocks(s, d), "all", AS_OF)),
+          sql(_with_stock_sql("TRUE"), "v_orders", "v_stock"))
+
+
 # Series: days back, inclusive of as_of.
 SERIES = {
     "last7": ("last_7", f"date >= DATE '{_day(6)}'"),
@@ -354,6 +405,8 @@ def _add_registry(r: Registry) -> None:
 
 def add_to(r: Registry) -> None:
     _add_reports(r)
+    _add_sellers(r)
+    _add_year_end(r)
     _add_series(r)
     _add_feeds(r)
     _add_order_stats(r)

@@ -15,7 +15,7 @@ from sellerlens.functions import dates, pricing, text
 from sellerlens.operators import backfill, nested
 from sellerlens.plans import ads, keywords, order_stats, remains, settlement, slots
 from sellerlens.session import shared_dir
-from sellerlens.sources import feeds
+from sellerlens.sources import feeds, sinks
 from sellerlens.streaming import slot_alerts
 
 SLOT_RULE = dict(warehouse_ids=[3, 7, 11, 19, 23], box_types=[2], max_coefficient=20)
@@ -31,11 +31,11 @@ def _r(df, **digits):
 def _add_nested(r: Registry) -> None:
     r.add("campaign_list_flatten", lambda s, d: nested.campaign_list(px.campaign_groups(s, d)),
           """SELECT CAST(8 + o_orderkey % 2 AS INT) AS type, CAST(o_orderkey % 3 + 7 AS INT) AS status,
-                    o_orderkey % 3 AS count, o_orderkey * 2 + i AS "advertId", strftime(o_orderdate,'%Y-%m-%d') AS "changeTime"
+                    o_orderkey % 3 AS count, (o_orderkey // 3) * 2 + i AS "advertId", strftime(o_orderdate,'%Y-%m-%d') AS "changeTime"
              FROM orders JOIN (VALUES (0),(1)) t(i) ON i < o_orderkey % 3""")
     r.add("distinct_campaigns",
           lambda s, d: nested.campaign_list(px.campaign_groups(s, d)).select("advertId").distinct(),
-          """SELECT DISTINCT o_orderkey * 2 + i AS "advertId" FROM orders JOIN (VALUES (0),(1)) t(i) ON i < o_orderkey % 3""")
+          """SELECT DISTINCT (o_orderkey // 3) * 2 + i AS "advertId" FROM orders JOIN (VALUES (0),(1)) t(i) ON i < o_orderkey % 3""")
     base = """v.endTime AS "endTime", v.createTime AS "createTime", v.changeTime AS "changeTime", v.startTime AS "startTime",
               v.name, v.dailyBudget AS "dailyBudget", v.k AS "advertId", v.status, v.type, v.paymentType AS "paymentType" """
     item = ", ".join(f'CAST(i.{f} AS {"VARCHAR" if kind == "string" else "BIGINT"}) AS "{f}"' for f, kind in nested.ITEM_FIELDS.items())
@@ -63,8 +63,8 @@ def _add_nested(r: Registry) -> None:
     r.add("nested_to_json", lambda s, d: nested.nested_to_json(px.campaign_groups(s, d), "adverts"),
           """SELECT '[{"type":' || (8 + o_orderkey % 2) || ',"status":' || (o_orderkey % 3 + 7) || ',"count":' || (o_orderkey % 3)
                     || ',"advert_list":[' || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN a ELSE a || ',' || b END || ']}]' AS adverts
-             FROM (SELECT *, '{"advertId":' || (o_orderkey*2) || ',"changeTime":"' || strftime(o_orderdate,'%Y-%m-%d') || '"}' AS a,
-                             '{"advertId":' || (o_orderkey*2+1) || ',"changeTime":"' || strftime(o_orderdate,'%Y-%m-%d') || '"}' AS b FROM orders)""")
+             FROM (SELECT *, '{"advertId":' || ((o_orderkey // 3)*2) || ',"changeTime":"' || strftime(o_orderdate,'%Y-%m-%d') || '"}' AS a,
+                             '{"advertId":' || ((o_orderkey // 3)*2+1) || ',"changeTime":"' || strftime(o_orderdate,'%Y-%m-%d') || '"}' AS b FROM orders)""")
     cluster = "role || '-' || CAST(conv_id AS VARCHAR) AS cluster"
     r.add("cluster_counts", lambda s, d: nested.cluster_counts(px.clusters(s, d)),
           f"SELECT {cluster}, turn AS count FROM conversations")
@@ -239,6 +239,10 @@ def _iso(*columns):
     return [dates.iso_day(c).alias(c) for c in columns]
 
 
+def _stored_index(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    return sinks.write_index(lines, f"{shared_dir(spark)}/report-index/{uuid.uuid4().hex}")
+
+
 def _add_settlement(r: Registry) -> None:
     iso = "strftime(date_from,'%Y-%m-%d') AS date_from, strftime(date_to,'%Y-%m-%d') AS date_to"
     lines = lambda s, d: settlement.typed(px.settlement(s, d))
@@ -252,8 +256,10 @@ def _add_settlement(r: Registry) -> None:
           sql(f"SELECT {iso}, realizationreport_id, COUNT(*) AS n FROM v_settlement GROUP BY date_from, date_to, realizationreport_id", "v_settlement"))
     r.add("settlement_labels", lambda s, d: settlement.labels(lines(s, d)), sql("SELECT * FROM v_labels", "v_labels"))
     r.add("settlement_labelled",
-          lambda s, d: settlement.labelled_lines(lines(s, d)).select("rrd_id", "realizationreport_id", "region"),
+          lambda s, d: settlement.labelled_lines(lines(s, d), _stored_index(s, lines(s, d))).select("rrd_id", "realizationreport_id", "region"),
           sql("SELECT rrd_id, s.realizationreport_id, region FROM v_settlement s JOIN v_labels l ON s.realizationreport_id = l.realizationreport_id", "v_labels"))
+    r.add("settlement_labels_by_seller", lambda s, d: settlement.labels(lines(s, d), by=["seller"]),
+          sql("SELECT * FROM v_labels_by_seller", "v_labels_by_seller"))
     r.add("settlement_report_index",
           lambda s, d: settlement.report_index(lines(s, d)).select("realizationreport_id", "region", *_iso("date_from", "date_to"), "report_name"),
           sql("""SELECT *, 'id_' || CAST(realizationreport_id AS VARCHAR) || '_from_' || date_from || '_to_' || date_to || '_reg_' || region AS report_name
@@ -331,6 +337,8 @@ def _add_remains(r: Registry) -> None:
                  FROM v_remains GROUP BY CUBE (brand, subjectName, vendorCode, nmId)""", "v_remains"))
     r.add("remains_filtered", lambda s, d: remains.filtered(px.remains(s, d), remains.LARGE).select("nmId", "warehouseName", "quantity"),
           sql("""SELECT nmId AS "nmId", warehouseName AS "warehouseName", quantity FROM v_remains WHERE volume > 3""", "v_remains"))
+    r.add("remains_without_volume", lambda s, d: remains.filtered(px.remains(s, d), remains.NO_VOLUME).select("nmId", "warehouseName", "quantity"),
+          sql("""SELECT nmId AS "nmId", warehouseName AS "warehouseName", quantity FROM v_remains WHERE volume IS NULL""", "v_remains"))
 
 
 def _add_backfill(r: Registry) -> None:
@@ -354,6 +362,12 @@ def _add_backfill(r: Registry) -> None:
                      strftime(least(f + INTERVAL 31 DAY, TIMESTAMP '{last}'),'%Y-%m-%d') AS date_to, COUNT(*) AS n
               FROM (SELECT i, TIMESTAMP '{first}' + to_days(CAST(i*32 AS INT)) AS f FROM range(0, 79) t(i))
               JOIN lineitem ON l_shipdate >= f AND l_shipdate < f + INTERVAL 32 DAY AND l_shipdate <= TIMESTAMP '{last}' GROUP BY i, f""")
+    last_alone = first + dt.timedelta(days=64 * 32)  # the 65th window would hold this day only
+    r.add("rows_per_window_reference",
+          lambda s, d: dated(backfill.rows_per_window(px.orders(s, d, "date"), "date", first, last_alone, 32, whole=False)),
+          f"""SELECT i AS window_id, strftime(f,'%Y-%m-%d') AS date_from, strftime(f + INTERVAL 31 DAY,'%Y-%m-%d') AS date_to, COUNT(*) AS n
+              FROM (SELECT i, TIMESTAMP '{first}' + to_days(CAST(i*32 AS INT)) AS f FROM range(0, 64) t(i))
+              JOIN lineitem ON l_shipdate >= f AND l_shipdate < f + INTERVAL 32 DAY GROUP BY i, f""")
     r.add("missing_slices",
           lambda s, d: dated(backfill.missing_slices(px.campaign_names(s, d), px.ads(s, d), "date_day", "2023-12-01", "2024-02-15", 7)),
           sql("""SELECT c.advertId AS "advertId", i AS window_id, strftime(TIMESTAMP '2023-12-01' + to_days(CAST(i*7 AS INT)),'%Y-%m-%d') AS date_from,

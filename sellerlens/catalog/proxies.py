@@ -70,6 +70,7 @@ def orders(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "lastChangeDate": col("l_shipdate"),
         "supplierArticle": col("p_name"),
         "nmId": col("l_partkey"),
+        "seller": col("l_suppkey") % 50,
         "totalPrice": col("l_extendedprice"),
         "discountPercent": col("l_discount") * 100,
         "warehouseName": col("s_name"),
@@ -94,6 +95,7 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "lastChangeDate": col("l_shipdate"),
         "supplierArticle": col("p_name"),
         "nmId": col("l_partkey"),
+        "seller": col("l_suppkey") % 50,
         "totalPrice": col("l_extendedprice"),
         "discountPercent": col("l_discount") * 100,
         "promoCodeDiscount": col("l_tax") * 100,
@@ -116,6 +118,15 @@ SOLD = (
 )
 
 
+# Days that move the last day of the lines to the end of a year whose last week is 53: only such a
+# year holds the highest week and month of all years.
+TO_YEAR_END = 1153
+
+
+def at_year_end(feed: DataFrame) -> DataFrame:
+    return feed.withColumn("date", col("date") + F.make_dt_interval(lit(TO_YEAR_END)))
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         col("p_partkey").alias("nmId"), col("p_name").alias("supplierArticle")
@@ -235,7 +246,7 @@ def fullstats(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyword_stats(spark: SparkSession, folder: str) -> DataFrame:
     stat = F.struct(
-        col("event_type").alias("keyword"),
+        F.concat(col("event_type"), lit("-"), (col("user_id") % 40).cast("string")).alias("keyword"),
         F.when(col("event_type") == "error", 0).otherwise(1).cast("bigint").alias("views"),
         F.when(col("user_id") % 2 == 0, 1).otherwise(0).cast("bigint").alias("clicks"),
         col("value").alias("sum"),
@@ -263,6 +274,7 @@ def settlement(spark: SparkSession, folder: str) -> DataFrame:
         F.when(col("o_orderpriority") == "5-LOW", 2).otherwise(1).alias("report_type"),
         F.when(status == "F", "Продажа").when(status == "O", "Возврат").otherwise("Логистика").alias("supplier_oper_name"),
         col("o_totalprice").alias("ppvz_for_pay"),
+        (col("o_custkey") % 7).alias("seller"),
     )
 
 
@@ -312,7 +324,7 @@ def remains(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             col("p_brand").alias("brand"), col("p_type").alias("subjectName"),
             col("p_name").alias("vendorCode"), col("p_partkey").alias("nmId"),
-            col("p_retailprice").alias("volume"), col("s_name").alias("warehouseName"), "quantity",
+            F.when(col("p_partkey") % 7 != 0, col("p_size") * 0.25).alias("volume"), col("s_name").alias("warehouseName"), "quantity",
         )
     )
 
@@ -335,10 +347,10 @@ def remains_nested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def campaign_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Campaign lists: each order one group with 0 to 2 campaigns."""
+    """Campaign lists: each order one group with 0 to 2 campaigns, some of them listed twice."""
     key = col("o_orderkey")
     advert = lambda i: F.struct(
-        (key * 2 + i).alias("advertId"), iso_day("o_orderdate").alias("changeTime")
+        (F.expr("o_orderkey div 3") * 2 + i).alias("advertId"), iso_day("o_orderdate").alias("changeTime")
     )
     group = F.struct(
         (8 + key % 2).cast("int").alias("type"), (key % 3 + 7).cast("int").alias("status"),

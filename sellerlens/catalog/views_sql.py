@@ -5,7 +5,7 @@ from __future__ import annotations
 VIEWS = {
     "v_orders": """
         SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS srid, l_shipdate AS date, p_name AS supplierArticle,
-               l_partkey AS nmId, l_extendedprice AS totalPrice, l_discount*100 AS discountPercent,
+               l_partkey AS nmId, l_suppkey % 50 AS seller, l_extendedprice AS totalPrice, l_discount*100 AS discountPercent,
                s_name AS warehouseName, n_name AS oblast, p_type AS subject, p_brand AS category,
                l_extendedprice*(1-l_discount) AS priceWithDisc,
                l_extendedprice*(1-l_discount)*(1+l_tax) AS finishedPrice, (l_linestatus='F') AS isRealization,
@@ -19,7 +19,7 @@ VIEWS = {
         LEFT JOIN nation ON s_nationkey=n_nationkey
     """,
     "v_sales": """
-        SELECT l_shipdate AS date, p_name AS supplierArticle, l_extendedprice AS totalPrice,
+        SELECT l_shipdate AS date, p_name AS supplierArticle, l_suppkey % 50 AS seller, l_extendedprice AS totalPrice,
                l_discount*100 AS discountPercent, l_tax*100 AS promoCodeDiscount,
                CAST(l_linenumber AS DOUBLE) AS spp, CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS IsStorno,
                l_extendedprice*((100-l_discount*100)/100)*((100-l_tax*100)/100)*((100-l_linenumber)/100) AS price,
@@ -29,6 +29,11 @@ VIEWS = {
                week(l_shipdate) AS week, month(l_shipdate) AS month, year(l_shipdate) AS year
         FROM lineitem LEFT JOIN part ON l_partkey=p_partkey
     """,
+    "v_orders_late": "SELECT * REPLACE (date + INTERVAL 1153 DAY AS date) FROM v_orders",
+    "v_sales_late": """
+        SELECT * REPLACE (date + INTERVAL 1153 DAY AS date, week(date + INTERVAL 1153 DAY) AS week,
+                          month(date + INTERVAL 1153 DAY) AS month, year(date + INTERVAL 1153 DAY) AS year) FROM v_sales
+    """,
     "v_stocks": """
         SELECT p_name AS supplierArticle, p_partkey AS nmId, CAST(p_size AS BIGINT) AS quantity
         FROM part
@@ -87,7 +92,7 @@ VIEWS = {
     """,
     "v_keywords": """
         SELECT strftime(ts,'%Y-%m-%d') AS date,
-               CASE WHEN event_id % 10 >= 2 THEN event_type END AS keyword,
+               CASE WHEN event_id % 10 >= 2 THEN event_type || '-' || CAST(user_id % 40 AS VARCHAR) END AS keyword,
                CASE WHEN event_id % 10 >= 2 THEN CASE WHEN event_type='error' THEN 0 ELSE 1 END END AS views,
                CASE WHEN event_id % 10 >= 2 THEN CASE WHEN user_id % 2=0 THEN 1 ELSE 0 END END AS clicks,
                CASE WHEN event_id % 10 >= 2 THEN value END AS sum
@@ -100,7 +105,7 @@ VIEWS = {
                     + CASE WHEN o_custkey % 10 < 7 THEN 0 ELSE 1 END AS BIGINT) AS realizationreport_id,
                CASE WHEN o_orderpriority='5-LOW' THEN 2 ELSE 1 END AS report_type,
                CASE o_orderstatus WHEN 'F' THEN 'Продажа' WHEN 'O' THEN 'Возврат' ELSE 'Логистика' END AS supplier_oper_name,
-               o_totalprice AS ppvz_for_pay
+               o_totalprice AS ppvz_for_pay, o_custkey % 7 AS seller
         FROM orders
     """,
     "v_pages": """
@@ -112,6 +117,12 @@ VIEWS = {
             FROM (SELECT date_from, date_to, realizationreport_id, COUNT(*) AS n FROM v_settlement GROUP BY 1,2,3))
         QUALIFY row_number() OVER (PARTITION BY realizationreport_id ORDER BY date_from DESC, date_to DESC) = 1
     """,
+    "v_labels_by_seller": """
+        SELECT seller, realizationreport_id, CASE WHEN rn=1 THEN 'ru' ELSE 'other' END AS region FROM (
+            SELECT *, row_number() OVER (PARTITION BY seller, date_from, date_to ORDER BY n DESC, realizationreport_id) AS rn
+            FROM (SELECT seller, date_from, date_to, realizationreport_id, COUNT(*) AS n FROM v_settlement GROUP BY 1,2,3,4))
+        QUALIFY row_number() OVER (PARTITION BY seller, realizationreport_id ORDER BY date_from DESC, date_to DESC) = 1
+    """,
     "v_slots": """
         SELECT o_orderkey, o_orderdate AS date, CAST(o_custkey % 40 AS BIGINT) AS warehouseID,
                'Warehouse-' || CAST(o_custkey % 40 AS VARCHAR) AS warehouseName,
@@ -125,7 +136,7 @@ VIEWS = {
     """,
     "v_remains": """
         SELECT p_brand AS brand, p_type AS subjectName, p_name AS vendorCode, p_partkey AS nmId,
-               p_retailprice AS volume, s_name AS warehouseName, SUM(l_quantity) AS quantity
+               CASE WHEN p_partkey % 7 <> 0 THEN p_size * 0.25 END AS volume, s_name AS warehouseName, SUM(l_quantity) AS quantity
         FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey
         GROUP BY 1,2,3,4,5,6
     """,
@@ -167,6 +178,9 @@ NEEDS = {
     "v_stock": ["v_stocks"],
     "v_dedup": ["v_lines"],
     "v_labels": ["v_settlement"],
+    "v_labels_by_seller": ["v_settlement"],
+    "v_orders_late": ["v_orders"],
+    "v_sales_late": ["v_sales"],
     "v_pages": ["v_settlement"],
     "v_items": ["v_campaigns"],
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens.functions.dates import Day, day_of, to_day
+from sellerlens.operators import periods
 
 
 def recent_start(start: Day, end: Day, days_back: int) -> dt.date:
@@ -51,19 +53,31 @@ def window_index(column: str, start: Day, span: int) -> Column:
     return F.floor(F.datediff(day_of(column), first) / span).cast("bigint")
 
 
+def _within(df: DataFrame, column: str, first: dt.date, last: dt.date, span: int) -> DataFrame:
+    """Rows of whole days ``first`` to ``last`` with their window.
+
+    The bounds compare the column as it is stored, text or date, so that they reach the scan;
+    text that is no date falls out by its missing window.
+    """
+    return (
+        periods.days(df, column, first, last)
+        .withColumn("window_id", window_index(column, first, span))
+        .where("window_id IS NOT NULL")
+    )
+
+
 def rows_per_window(
     df: DataFrame, column: str, start: Day, end: Day, span: int, whole: bool = True
 ) -> DataFrame:
     """Row count of every window of the range, with its bounds. Windows without rows are absent."""
     first, last = to_day(start), to_day(end)
-    day = day_of(column)
     upper = last
     if not whole and (last - first).days % span == 0:
         upper = last - dt.timedelta(days=1)
     lit = lambda d: F.lit(d.isoformat()).cast("date")
     counted = (
-        df.where((day >= lit(first)) & (day <= lit(upper)))
-        .groupBy(window_index(column, first, span).alias("window_id"))
+        _within(df, column, first, upper, span)
+        .groupBy("window_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     opened = F.date_add(lit(first), (F.col("window_id") * span).cast("int"))
@@ -76,36 +90,41 @@ def rows_per_window(
 
 
 def missing_slices(
-    campaigns: DataFrame, landed: DataFrame, column: str, start: Day, end: Day, span: int
+    campaigns: DataFrame, landed: DataFrame, column: str, start: Day, end: Day, span: int,
+    whole: bool = True, by: Sequence[str] = (),
 ) -> DataFrame:
     """(campaign, window) pairs of the range for which nothing has landed.
 
+    With ``by`` a campaign is named by those columns and its id together.
+
     The full grid is never formed. What travels per campaign is the set of window numbers it
     has, at most as many as the range has windows; the gaps are an array difference.
     """
     first, last = to_day(start), to_day(end)
     lit = lambda d: F.lit(d.isoformat()).cast("date")
-    day = day_of(column)
+    key = [*by, "advertId"]
     present = (
-        landed.where((day >= lit(first)) & (day <= lit(last)))
-        .select("advertId", window_index(column, first, span).alias("window_id"))
+        _within(landed, column, first, last, span)
+        .select(*key, "window_id")
         .distinct()
-        .groupBy("advertId")
+        .groupBy(*key)
         .agg(F.collect_set("window_id").alias("present"))
     )
     n = (last - first).days // span + 1
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    if not whole and (last - first).days % span == 0:
+        n -= 1
+    every = F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n, 1) - 1).cast("bigint")), 1, max(n, 0))
     none = F.array().cast("array<bigint>")
     opened = F.date_add(lit(first), (F.col("window_id") * span).cast("int"))
     return (
-        campaigns.select("advertId").distinct()
-        .join(present, "advertId", "left")
+        campaigns.select(*key).distinct()
+        .join(present, key, "left")
         .select(
-            "advertId",
+            *key,
             F.explode(F.array_except(every, F.coalesce("present", none))).alias("window_id"),
         )
         .select(
-            "advertId",
+            *key,
             "window_id",
             opened.alias("date_from"),
             F.least(F.date_add(opened, span - 1), lit(last)).alias("date_to"),

@@ -23,11 +23,11 @@ def sums(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return drop_null_keys(df, *keys).groupBy(*keys).agg(*totals)
 
 
-def count_and_sum(df: DataFrame, key: str, value: str) -> DataFrame:
+def count_and_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Both in one pass. Rows whose value is null count for nothing, as does a null key."""
     return (
-        drop_null_keys(df, key)
-        .groupBy(key)
+        drop_null_keys(df, *keys)
+        .groupBy(*keys)
         .agg(F.count(value).alias("qty"), F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
     )
 
@@ -84,5 +84,5 @@ def all_mixes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     fine = df.groupBy(*keys).agg(F.sum(value).alias(value))
     return fine.cube(*keys).agg(
-        F.sum(value).alias(value), F.grouping_id().cast("bigint").alias("mix")
+        F.coalesce(F.sum(value), F.lit(0)).alias(value), F.grouping_id().cast("bigint").alias("mix")
     )

@@ -46,11 +46,12 @@ def campaign_list(groups: DataFrame) -> DataFrame:
     )
 
 
+# Output columns of a campaign.
 BASE_FIELDS = (
     "endTime", "createTime", "changeTime", "startTime", "name", "dailyBudget", "advertId",
     "status", "type", "paymentType",
 )
-# Columns a campaign row gains from whichever of its parameter blocks produced it.
+# Columns a campaign row gains from whichever of its parameter blocks produced it.
 ITEM_FIELDS = {
     "nms": "bigint", "nmCPM": "bigint", "cpm": "bigint", "subjectName": "string",
     "subjectId": "bigint", "auction_nm": "bigint", "auction_bid": "bigint",
@@ -158,6 +159,8 @@ CAMPAIGN_ORDER = {"create": "createTime", "change": "changeTime", "id": "advertI
 
 
 def campaigns_ordered(campaigns: DataFrame, order: str = "create", direction: str = "desc") -> DataFrame:
+    if order not in CAMPAIGN_ORDER or direction not in ("asc", "desc"):
+        raise ValueError(f"order {order!r} {direction!r}: expected one of {tuple(CAMPAIGN_ORDER)}, asc or desc")
     by = F.col(CAMPAIGN_ORDER[order])
     return campaigns.orderBy(by.desc() if direction == "desc" else by.asc(), F.col("advertId"))
 
@@ -195,6 +198,7 @@ def keyword_lines(stats: DataFrame) -> DataFrame:
 
 # --- warehouse remains -----------------------------------------------------------------------
 
+# Columns of a remains row.
 REMAINS_FIELDS = (
     "brand", "subjectName", "vendorCode", "nmId", "barcode", "techSize", "volume",
     "inWayToClient", "inWayFromClient", "quantityWarehousesFull",

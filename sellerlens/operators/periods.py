@@ -10,9 +10,9 @@ travels, and the lower date bound is pushed into the second scan at run time.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sellerlens.functions import dates
@@ -77,15 +77,21 @@ def calendar_bounds(name: str, as_of: dt.date) -> tuple[dt.date, dt.date]:
 
 # --- newest bucket ---------------------------------------------------------------------------
 
-def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0) -> DataFrame:
+def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Rows of the newest bucket that occurs, or of the one ``skip`` occurring buckets earlier.
 
+    With ``by`` every group (every seller, say) has its own newest bucket; see ``_in_buckets``.
+
     Two scalars come from one aggregate over the dates: the bucket, and the earliest date in it,
     whose plain comparison is the part the scan can use. Sorting by both columns keeps the two
     subqueries the same up to their last projection, so the aggregate runs once.
     """
     seen = DAY if _by_day(df, column) else column  # with day partitions their values are enough
-    keyed = df.select(F.col(seen).alias("d"), bucket(F.col(seen)).alias("b")).where("b IS NOT NULL")
+    keyed = df.select(*by, F.col(seen).alias("d"), bucket(F.col(seen)).alias("b")).where("b IS NOT NULL")
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("b")))
+        own = keyed.groupBy(*by, "b").agg(F.min("d").alias("d")).withColumn("nth", place).where(F.col("nth") == skip + 1)
+        return _in_buckets(df, own.drop("nth"), by, seen, {"b": bucket(F.col(column))})
     found = (
         keyed.groupBy("b").agg(F.min("d").alias("d"))
         .orderBy(F.desc("b"), "d").offset(skip).limit(1)
@@ -94,17 +100,35 @@ def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0) ->
     return df.where((F.col(seen) >= first_day) & (bucket(F.col(column)) == newest))
 
 
-def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0) -> DataFrame:
+def _in_buckets(df: DataFrame, own: DataFrame, by: Sequence[str], seen: str, keys: dict[str, Column]) -> DataFrame:
+    """Rows whose group and bucket stand in ``own``, one row per group with its earliest date ``d``.
+
+    The join is on group *and* bucket, so that a group with a large share of all rows is no key by
+    itself; rows before the earliest date of any group's bucket are not read. Rows whose group is
+    null belong to none.
+    """
+    earliest = own.agg(F.min("d").alias("d")).scalar()
+    marked = df.where(F.col(seen) >= earliest).withColumns({f"__{k}": e for k, e in keys.items()})
+    wanted = own.select(*by, *[F.col(k).alias(f"__{k}") for k in keys])
+    return marked.join(wanted, [*by, *wanted.columns[len(by):]], "left_semi").select(*df.columns)
+
+
+def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Rows of the newest year whose week (or month) number is the highest of *any* year.
 
     ``shift=0`` keeps numbers at or above that maximum, ``shift=1`` exactly the one below. Early
     in a year this selects nothing, since an earlier year reached a higher number. The newest
     year enters as its first date, which the scan can use; one aggregate serves both scalars.
+    With ``by`` every group has its own newest year and highest number.
     """
     seen = DAY if _by_day(df, column) else column
     keyed = df.select(
-        F.col(seen).alias("d"), F.year(dates.ts(seen)).alias("y"), part(F.col(seen)).alias("n")
+        *by, F.col(seen).alias("d"), F.year(dates.ts(seen)).alias("y"), part(F.col(seen)).alias("n")
     ).where("y IS NOT NULL")
+    if by:
+        fine = keyed.groupBy(*by, "y").agg(F.min("d").alias("d"), F.max("n").alias("n"))
+        own = fine.groupBy(*by).agg(F.max("y").alias("y"), (F.max("n") - shift).alias("n"), F.max_by("d", "y").alias("d"))
+        return _in_buckets(df, own, by, seen, {"y": F.year(dates.ts(column)), "n": part(F.col(column))})
     per_year = keyed.groupBy("y").agg(F.min("d").alias("d"), F.max("n").alias("n"))
     first_day = per_year.orderBy(F.desc("y"), "d", "n").limit(1).select("d").scalar()
     top_number = per_year.orderBy(F.desc("n"), "d", "y").limit(1).select("n").scalar()
@@ -154,12 +178,14 @@ def select_period(
     column: str = "date",
     start: Day | None = None,
     end: Day | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of a named period.
 
     ``feed`` is ``orders``, ``sales`` or ``series``, which read week and month names
     differently. ``mode="reference"`` finds them in the data as those feeds' reports do,
     ``mode="calendar"`` from ``as_of``. ``range`` takes ``start`` and ``end``, both included.
+    ``by`` names columns, such as a seller's, whose groups each have their own newest buckets.
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r}: expected one of {MODES}")
@@ -190,5 +216,5 @@ def select_period(
     shift = 1 if name.startswith("prev_") else 0
     weekly = name.endswith("_week")
     if feed == "orders":
-        return newest_bucket(df, column, dates.yearweek if weekly else dates.yearmonth, shift)
-    return separate_maxima(df, column, week_number if weekly else month_number, shift)
+        return newest_bucket(df, column, dates.yearweek if weekly else dates.yearmonth, shift, by)
+    return separate_maxima(df, column, week_number if weekly else month_number, shift, by)

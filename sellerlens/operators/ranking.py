@@ -6,6 +6,8 @@ unique last sort column keeps the result the same from run to run.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def top(df: DataFrame, by: str, tie: str, k: int = SHOWN) -> DataFrame:
     return df.orderBy(F.desc_nulls_first(by), F.asc(tie)).limit(k)
 
 
+def top_per(df: DataFrame, keys: Sequence[str], by: str, tie: str, k: int = SHOWN) -> DataFrame:
+    """``top`` within every group. Each task keeps k rows per group before the shuffle."""
+    window = Window.partitionBy(*keys).orderBy(F.desc_nulls_first(by), F.asc(tie))
+    return df.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= k).drop("__rn")
+
+
 def bottom(df: DataFrame, by: str, tie: str, k: int = SHOWN) -> DataFrame:
     return df.orderBy(F.asc_nulls_first(by), F.asc(tie)).limit(k)
 

@@ -9,6 +9,7 @@ from sellerlens.functions import dates
 from sellerlens.functions.pricing import margin, percent, ratio
 from sellerlens.operators import grouping, nested, ranking
 
+# Figures and key of an ad line.
 NM_SUMS = ["sum_nm", "views_nm", "clicks_nm", "orders_nm", "sum_price_nm"]
 LINE_KEY = ["date_day", "advertId", "appType_device", "nmId_nm"]
 LINE_ORDER = ["chunk_seq", "day_pos", "app_pos", "nm_pos"]
@@ -210,12 +211,19 @@ def margin_estimate(totals: DataFrame) -> DataFrame:
 
 def reconcile(chunks: DataFrame) -> DataFrame:
     """The same spend at three stages: as delivered, flattened, deduplicated."""
-    lines = ad_lines(chunks)
-    stage = lambda df, name, column: df.agg(grouping.total(column).alias("spend")).select(
-        F.lit(name).alias("stage"), "spend"
+    day = chunks.schema["days"].dataType.elementType
+    device = day["apps"].dataType.elementType
+    listed = lambda entry, name, kind: F.coalesce(entry[name], F.array().cast(kind[name].dataType.simpleString()))
+    devices = F.flatten(F.transform("days", lambda d: listed(d, "apps", day)))
+    products = F.flatten(F.transform(devices, lambda a: listed(a, "nm", device)))
+    flattened = F.aggregate(products, F.lit(0.0), lambda acc, n: acc + F.coalesce(n["sum"], F.lit(0.0)))
+    # The first two stages need no rows but the chunks, so one pass gives both.
+    whole = chunks.select("sum", flattened.alias("flat")).agg(
+        grouping.total("sum").alias("delivered"), grouping.total("flat").alias("flattened")
     )
+    named = lambda name: F.struct(F.lit(name).alias("stage"), F.col(name).alias("spend"))
+    last = dedup_lines(ad_lines(chunks)).agg(grouping.total("sum_nm").alias("spend"))
     return (
-        stage(lines, "flattened", "sum_nm")
-        .unionByName(stage(chunks, "delivered", "sum"))
-        .unionByName(stage(dedup_lines(lines), "deduplicated", "sum_nm"))
+        whole.select(F.explode(F.array(named("delivered"), named("flattened"))).alias("s")).select("s.*")
+        .unionByName(last.select(F.lit("deduplicated").alias("stage"), "spend"))
     )

@@ -34,7 +34,7 @@ def filtered(remains: DataFrame, volume: int = ANY_VOLUME) -> DataFrame:
 def grouped(remains: DataFrame, *flags: str) -> DataFrame:
     """Quantity per chosen mix of keys; without flags the grand total."""
     keys = [GROUP_FLAGS[f] for f in flags]
-    return remains.groupBy(*keys).agg(F.sum("quantity").alias("quantity"))
+    return remains.groupBy(*keys).agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"))
 
 
 def cube(remains: DataFrame, *flags: str) -> DataFrame:

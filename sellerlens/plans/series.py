@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def bucket_column(grain: str, week_key: str = "padded") -> Column:
     return WEEK_KEYS[week_key]("date").cast("bigint")
 
 
-def one_series(priced: DataFrame, label: str, bucket: Column) -> DataFrame:
-    per_bucket = grouping.count_and_sum(priced.select(bucket.alias("bucket"), AMOUNT), "bucket", AMOUNT)
+def one_series(priced: DataFrame, label: str, bucket: Column, by: Sequence[str] = ()) -> DataFrame:
+    per_bucket = grouping.count_and_sum(priced.select(*by, bucket.alias("bucket"), AMOUNT), [*by, "bucket"], AMOUNT)
     shown = F.col("bucket").cast("string") if dict(per_bucket.dtypes)["bucket"] == "date" else F.col("bucket")
-    return per_bucket.select(F.lit(label).alias("series"), shown.alias("bucket"), "qty", AMOUNT)
+    return per_bucket.select(*by, F.lit(label).alias("series"), shown.alias("bucket"), "qty", AMOUNT)
 
 
 def orders_vs_sales(
@@ -41,19 +43,21 @@ def orders_vs_sales(
     week_key: str = "padded",
     start: Day | None = None,
     end: Day | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Both series in long form, a ``series`` label beside the bucket.
 
     Unlike the article reports, cancelled orders and reversed sales are counted here.
     ``week_key="unpadded"`` gives the week key without zero padding and January rule.
+    ``by`` gives each group of those columns its own pair of series.
     """
     grain = grain or ("day" if period in DAILY else "week")
     bucket = bucket_column(grain, week_key)
-    pick = dict(as_of=as_of, feed="series", mode=mode, start=start, end=end)
+    pick = dict(as_of=as_of, feed="series", mode=mode, start=start, end=end, by=by)
     return one_series(
-        priced_orders(periods.select_period(orders, period, **pick)), "orders", bucket
+        priced_orders(periods.select_period(orders, period, **pick)), "orders", bucket, by
     ).unionByName(
-        one_series(priced_sales(periods.select_period(sales, period, **pick)), "sales", bucket)
+        one_series(priced_sales(periods.select_period(sales, period, **pick)), "sales", bucket, by)
     )
 
 
@@ -76,7 +80,7 @@ def series_totals(series: DataFrame) -> DataFrame:
     sums = series.groupBy("series").agg(
         grouping.rounded_total(AMOUNT).alias("total_amount"), F.sum("qty").alias("total_qty")
     )
-    labels = series.sparkSession.createDataFrame([("orders",), ("sales",)], "series string")
+    labels = series.sparkSession.range(1).select(F.explode(F.array(F.lit("orders"), F.lit("sales"))).alias("series"))
     return labels.join(sums, "series", "left").select(
         "series",
         F.coalesce("total_amount", F.lit(0)).cast("bigint").alias("total_amount"),

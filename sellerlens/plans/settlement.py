@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,40 +52,41 @@ def _known_period():
     return (F.col(PERIOD[0]) != _no_date()) & (F.col(PERIOD[1]) != _no_date())
 
 
-def _counts(lines: DataFrame) -> DataFrame:
+def _counts(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     filled = lines.withColumns({c: F.coalesce(F.col(c), _no_date()) for c in PERIOD})
     return (
-        grouping.drop_null_keys(filled, REPORT)
-        .groupBy(*PERIOD, REPORT)
+        grouping.drop_null_keys(filled, *by, REPORT)
+        .groupBy(*by, *PERIOD, REPORT)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def report_counts(lines: DataFrame) -> DataFrame:
+def report_counts(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lines per report and period; lines without a period belong to none."""
-    return _counts(lines).where(_known_period())
+    return _counts(lines, by).where(_known_period())
 
 
-def report_regions(lines: DataFrame) -> DataFrame:
+def report_regions(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per report its region label and the first and last date of its lines.
 
     The report with most lines of its period is ``ru``, ties going to the smaller id; a report
     in several periods takes the label of the last. The biggest report is found by an aggregate
     and joined back on period, report *and* count: a period shared by very many reports is
     neither sorted in one task nor a join key by itself. With the count among the keys, and no
-    key that can be null, both sides ask the same of the lines, which are read and shuffled once.
+    key that can be null, both sides ask the same of the lines, which are read and shuffled once. With ``by`` every group of those columns
+    (a seller, say) has a biggest report of its own.
     """
-    counts = _counts(lines)
+    counts = _counts(lines, by)
     biggest = (
-        counts.groupBy(*PERIOD)
+        counts.groupBy(*by, *PERIOD)
         .agg(F.max(F.struct("n", (-F.col(REPORT)).alias("neg"))).alias("m"))
-        .select(*PERIOD, (-F.col("m.neg")).alias(REPORT), F.col("m.n").alias("n"), F.lit(HOME).alias("region"))
+        .select(*by, *PERIOD, (-F.col("m.neg")).alias(REPORT), F.col("m.n").alias("n"), F.lit(HOME).alias("region"))
     )
-    labelled = counts.join(biggest, [*PERIOD, REPORT, "n"], "left")
+    labelled = counts.join(biggest, [*by, *PERIOD, REPORT, "n"], "left")
     label = F.struct(*PERIOD, F.coalesce("region", F.lit(OTHER)).alias("region"))
     last = F.max(F.when(_known_period(), label)).getField("region")
     return (
-        labelled.groupBy(REPORT)
+        labelled.groupBy(*by, REPORT)
         .agg(
             last.alias("region"),
             F.min(_dated(PERIOD[0])).alias(PERIOD[0]),
@@ -93,11 +96,11 @@ def report_regions(lines: DataFrame) -> DataFrame:
     )
 
 
-def labels(lines: DataFrame) -> DataFrame:
-    return report_regions(lines).select(REPORT, "region")
+def labels(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return report_regions(lines, by).select(*by, REPORT, "region")
 
 
-def report_index(lines: DataFrame) -> DataFrame:
+def report_index(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per report: label, first and last date, and the name its export carries."""
     # Fixed value: the pattern of a report's name.
     name = F.format_string(
@@ -107,16 +110,19 @@ def report_index(lines: DataFrame) -> DataFrame:
         iso_day("date_to"),
         F.col("region"),
     )
-    return report_regions(lines).withColumn("report_name", name)
+    return report_regions(lines, by).withColumn("report_name", name)
 
 
-def labelled_lines(lines: DataFrame) -> DataFrame:
+def labelled_lines(lines: DataFrame, index: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Every line with its report's label.
 
-    The label table has one row per report and is joined on size: broadcast when it measures
-    small, otherwise a sort-merge join whose hot report is split at run time.
+    The label table has one row per report. Computed here, Spark expects it to be as large as the
+    lines and may shuffle them by report; a written ``report_index`` read back has a known size, is
+    broadcast where that is small, and the lines stay where they are. Beyond that size it is a
+    sort-merge join whose hot report is split at run time.
     """
-    return lines.join(labels(lines), REPORT)
+    known = labels(lines, by) if index is None else index.select(*by, REPORT, "region")
+    return lines.join(known, [*by, REPORT])
 
 
 def operation_total(lines: DataFrame, operation: str, report_type: int = 1) -> DataFrame:

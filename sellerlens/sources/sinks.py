@@ -17,14 +17,24 @@ def write_report(report: DataFrame, path: str, format: str = "parquet", mode: st
     writer.save(path)
 
 
+def write_index(lines: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """The report index of settlement lines, written and read back with its true size."""
+    index = settlement.report_index(lines)
+    index.write.mode(mode).parquet(path)
+    return lines.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def write_split(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Settlement lines, one folder per region and report.
+    """Settlement lines, one folder per region and report, and the report index in ``<path>-index``.
+
+    The index is written first and the labels are taken from it, see ``settlement.labelled_lines``.
 
     ``rebalance`` gathers each report into few files and, unlike a plain repartition by report,
     splits a report too big for one task over several.
     """
+    index = write_index(lines, f"{path.rstrip('/')}-index", mode)
     (
-        settlement.labelled_lines(lines)
+        settlement.labelled_lines(lines, index)
         .hint("rebalance", "region", settlement.REPORT)
         .write.mode(mode)
         .partitionBy("region", settlement.REPORT)
