@@ -169,6 +169,17 @@ def _add_ads(r: Registry) -> None:
           lambda s, d: _r(ads.with_rates(ads.campaign_rollup(px.fullstats(s, d))).select("advertId", "ctr", "cpc", "cr"), ctr=6, cpc=6, cr=6),
           f"""SELECT "advertId", round(clicks/views*100,6) AS ctr, round(sum/NULLIF(clicks,0),6) AS cpc, round(orders/NULLIF(clicks,0)*100,6) AS cr
               FROM ({rollup.format(views=least)})""")
+    counted, money, rates = ("views", "clicks", "orders", "atbs", "shks"), ("sum", "sum_price"), ("ctr", "cpc", "cr")
+    figures = [f"{c}_campaign" for c in (*counted, *money, *rates)]
+    shown = ", ".join(
+        [f"c.{c} AS {c}_campaign" for c in counted] + [f"round(c.{c}, 1) AS {c}_campaign" for c in money]
+        + [f"round(c.{c}, 4) AS {c}_campaign" for c in rates])
+    r.add("ad_stats_with_campaign",
+          lambda s, d: _r(_lines(ads.with_campaign(ads.ad_lines(px.fullstats(s, d)), px.fullstats(s, d)), *figures),
+                          sum_campaign=1, sum_price_campaign=1, ctr_campaign=4, cpc_campaign=4, cr_campaign=4),
+          sql(f"""SELECT {LINE_SELECT}, {shown} FROM v_lines l JOIN (
+                    SELECT *, clicks/views*100 AS ctr, sum/NULLIF(clicks,0) AS cpc, orders/NULLIF(clicks,0)*100 AS cr
+                    FROM ({rollup.format(views=least)})) c ON l.advertId = c."advertId" """, "v_lines"))
     r.add("ad_by_product", lambda s, d: _r(ads.by_spend(ads.by_product(px.ads(s, d))), sum_nm=2, sum_price_nm=2),
           sql(f"""SELECT advertId AS "advertId", nmId_nm AS "nmId_nm", round(sum_nm,2) AS sum_nm, views_nm, clicks_nm, orders_nm,
                   round(sum_price_nm,2) AS sum_price_nm FROM ({_by_product_sql('v_ads')})""", "v_ads"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sellerlens.operators import ranking
+
 
 def drop_null_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
@@ -71,9 +73,12 @@ def first_by_date(df: DataFrame, key: str, label: str, when: str, amounts: list[
 
 
 def last_per_key(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """The row of each key with the highest ``order``: the latest registration wins."""
-    newest = F.max_by(F.struct(*values, order), F.col(order)).alias("__last")
-    return df.groupBy(key).agg(newest).select(key, "__last.*")
+    """The row of each key with the highest ``order``: the latest registration wins.
+
+    On a tie the larger values win; a key without any ``order`` keeps a row too.
+    """
+    latest = [F.desc(order), *[F.desc(v) for v in values]]
+    return ranking.keep_first(df.select(key, *values, order), [key], latest)
 
 
 def all_mixes(df: DataFrame, keys: list[str], value: str) -> DataFrame:

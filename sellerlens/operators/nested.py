@@ -189,10 +189,13 @@ def word_lists(words: DataFrame) -> list[str]:
 
 
 def keyword_lines(stats: DataFrame) -> DataFrame:
+    """One row per entry of ``stats`` with the fields of its parent, be that a day or a keyword."""
+    entry = stats.schema["keywords"].dataType.elementType
+    parent = [f for f in entry.fieldNames() if f != "stats"]
     return (
         stats.select(F.explode("keywords").alias("k"))
-        .select("k.date", F.explode_outer("k.stats").alias("s"))
-        .select("date", "s.*")
+        .select(*[f"k.{f}" for f in parent], F.explode_outer("k.stats").alias("s"))
+        .select(*parent, "s.*")
     )
 
 

@@ -91,6 +91,16 @@ def with_rates(rollup: DataFrame) -> DataFrame:
     )
 
 
+def with_campaign(lines: DataFrame, chunks: DataFrame, views: str = "min") -> DataFrame:
+    """Ad lines beside their campaign's figures and rates, those suffixed ``_campaign``.
+
+    One row per campaign is joined; a line without a campaign keeps NULLs.
+    """
+    rollup = with_rates(campaign_rollup(chunks, views)).drop("days", "boosterStats")
+    named = rollup.withColumnsRenamed({c: f"{c}_campaign" for c in rollup.columns if c != "advertId"})
+    return lines.join(named, "advertId", "left")
+
+
 # --- lines with positions --------------------------------------------------------------------
 
 def first_positions(boosters: DataFrame) -> DataFrame:

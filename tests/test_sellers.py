@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sellerlens.operators import backfill, nested, periods
+from sellerlens.operators import backfill, grouping, nested, periods
 from sellerlens.plans import ads, articles, series, settlement
 from sellerlens.sources import sinks
 from sellerlens.sources.schemas import NOT_CANCELLED
@@ -127,3 +127,20 @@ def test_unknown_order_of_campaigns(spark):
     for order, direction in (("name", "asc"), ("id", "down")):
         with pytest.raises(ValueError):
             nested.campaigns_ordered(campaigns, order, direction)
+
+
+def test_keyword_stats_by_either_parent(spark):
+    stat = "struct<{}: string, views: bigint, clicks: bigint, sum: double>"
+    day = spark.createDataFrame([([("2024-01-01", [("shoe", 3, 1, 2.0)]), ("2024-01-02", None)],)],
+                                f"keywords array<struct<date: string, stats: array<{stat.format('keyword')}>>>")
+    word = spark.createDataFrame([([("shoe", [("2024-01-01", 3, 1, 2.0)])],)],
+                                 f"keywords array<struct<keyword: string, stats: array<{stat.format('date')}>>>")
+    columns = ("date", "keyword", "views", "clicks", "sum")
+    line = ("2024-01-01", "shoe", 3, 1, 2.0)
+    assert rows(nested.keyword_lines(day), *columns) == [line, ("2024-01-02", None, None, None, None)]
+    assert rows(nested.keyword_lines(word), *columns) == [line]
+
+
+def test_latest_row_per_key(spark):
+    table = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", None, "w"), (None, 1, "n")], "user_id string, seq int, user_api string")
+    assert rows(grouping.last_per_key(table, "user_id", "seq", ["user_api"])) == [("a", "z", 3), ("b", "w", None), (None, "n", 1)]
