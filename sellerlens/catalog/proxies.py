@@ -415,13 +415,12 @@ def search_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def goods_return_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw goods-return response bodies, one per returned line."""
+    """Raw goods-return response bodies, one per line."""
     row = F.struct(
         col("l_orderkey").alias("orderId"), col("l_partkey").alias("nmId"),
         iso_day("l_shipdate").alias("returnDate"),
     )
-    lines = table(spark, folder, "lineitem").where(col("l_returnflag") == "R")
-    return lines.select(F.to_json(F.struct(F.array(row).alias("report"))).alias("payload"))
+    return table(spark, folder, "lineitem").select(F.to_json(F.struct(F.array(row).alias("report"))).alias("payload"))
 
 
 def income_bodies(spark: SparkSession, folder: str) -> DataFrame:
