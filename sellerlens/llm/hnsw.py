@@ -12,8 +12,6 @@ merged per query.
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -154,27 +152,51 @@ def search(x: np.ndarray, layers: list, queries: np.ndarray, width: int = BEAM)
     return beam_search(x, *layers[-1], queries, start, width)
 
 
+GRAPH = "shard int, d int, vectors binary, owners binary, ids binary, layers array<int>, nodes binary, links binary"
+
+
 def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard as one row of flat little-endian arrays.
+
+    ``vectors`` (doubles) has the nodes' components; ``ids`` (longs) belong to the nodes ``owners`` (ints).
+    ``layers`` are the layers' sizes from the top, ``nodes`` (ints) the nodes of one layer after the
+    other, and ``links`` (ints) the ``MOST_LINKS`` neighbours of each of these.
+    """
     rows = rows.sort_values("least", ignore_index=True)
     x = matrix(rows["v"])
-    flat = [(n.astype(np.int32), links) for n, links in build(x)]
-    graph = {"x": x, "ids": [np.asarray(i) for i in rows["ids"]], "layers": flat}
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "d": [rows["d"].iloc[0]], "graph": [pickle.dumps(graph)]})
+    layers = build(x)
+    flat = {
+        "vectors": x.astype("<f8"), "owners": np.repeat(np.arange(len(x)), rows["ids"].map(len)).astype("<i4"),
+        "ids": np.concatenate(list(rows["ids"])).astype("<i8"),
+        "nodes": np.concatenate([n for n, _ in layers]).astype("<i4"), "links": np.concatenate([k for _, k in layers]).astype("<i4"),
+    }
+    return pd.DataFrame({
+        "shard": [rows["shard"].iloc[0]], "d": [rows["d"].iloc[0]], "layers": [[len(n) for n, _ in layers]],
+        **{name: [values.tobytes()] for name, values in flat.items()},
+    })
+
+
+def _graph(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Vectors, where each node's ids begin and end, ids, and layers, of a shard's row."""
+    x = np.frombuffer(row.vectors, "<f8").reshape(-1, row.d)
+    spans = np.searchsorted(np.frombuffer(row.owners, "<i4"), np.arange(len(x) + 1))
+    ends = np.cumsum(row.layers)[:-1]
+    nodes, links = np.frombuffer(row.nodes, "<i4"), np.frombuffer(row.links, "<i4").reshape(-1, MOST_LINKS)
+    layers = list(zip(np.split(nodes.astype(int), ends), np.split(links, ends), strict=True))
+    return x, spans, np.frombuffer(row.ids, "<i8"), layers
 
 
 def _answers(k: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for stored_graph in index["graph"]:
-            graph = pickle.loads(stored_graph)
-            x, q = graph["x"], matrix(queries["v"])
-            if not len(q):
-                continue
+        for row in index.itertuples() if len(queries) else ():
+            x, spans, ids, layers = _graph(row)
+            q = matrix(queries["v"])
             # A query's own node and k others, with k + 1 ids each at most, hold k ids but its own.
-            for name, v, nodes in zip(queries["id"], q, search(x, graph["layers"], q, max(BEAM, k + 1)), strict=True):
+            for name, v, nodes in zip(queries["id"], q, search(x, layers, q, max(BEAM, k + 1)), strict=True):
                 nodes = nodes[nodes >= 0]
                 far = np.sqrt(((x[nodes] - v) ** 2).sum(1))
-                near = sorted((d, i) for d, node in zip(far, nodes, strict=True) for i in graph["ids"][node] if i != name)
+                near = sorted((d, i) for d, n in zip(far, nodes, strict=True) for i in ids[spans[n] : spans[n + 1]] if i != name)
                 out += [(name, i, d) for d, i in near[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -198,7 +220,7 @@ def neighbours(table: DataFrame, queries: DataFrame, id_column: str = "vec_id",
     nodes = stored(nodes.withColumn("d", F.size("v")), "nodes")
     shards = parts_for(nodes.count(), SHARD)
     dealt = nodes.select("ids", "least", "v", "d", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    index = stored(dealt.groupBy("shard", "d").applyInPandas(_indexed, "shard int, d int, graph binary"), "graphs")
+    index = stored(dealt.groupBy("shard", "d").applyInPandas(_indexed, GRAPH), "graphs")
 
     asked = usable(queries, id_column, vector_column).dropDuplicates(["id", "key"]).select("id", "v", F.size("v").alias("d"))
     asked = stored(asked, "queries")
