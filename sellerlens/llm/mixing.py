@@ -9,7 +9,8 @@ The weights are realised as block permutations. A source is dealt into blocks of
 by a hash of the row's id. In every epoch the blocks follow one another in an order drawn for that
 epoch, and the rows within a block in one as well; a source takes whole epochs and then rows from the
 next one until its share of the budget is filled (the row that reaches the share is the last one
-taken). So only blocks, never the rows of a source, are added up in one window.
+taken). Rows are added up within blocks, blocks within runs and runs within sources, so that no window
+takes all rows, nor all blocks, of a source.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ GAP = 0.5         # target entropy: this far from that of the shares to that of
 REPEATS = 4.0     # no source is repeated more often within the budget
 BUDGET = 1.0      # tokens of the mixture for each token of the corpus
 BLOCK = 256
+RUN_DIGITS = 3    # hexadecimal digits of a block's order that name its run
 STEPS = 40
 SEED = "mix"
 
@@ -97,6 +99,24 @@ def _half(b: Column, upper: Column) -> Column:
     return F.struct(F.when(upper, mid).otherwise(b["lo"]).alias("lo"), F.when(upper, b["hi"]).otherwise(mid).alias("hi"))
 
 
+def _sums_before(blocks: DataFrame) -> DataFrame:
+    """``source, b, begin``: the sizes of a source's blocks that come before this one in its order.
+
+    Blocks that begin with the same ``RUN_DIGITS`` digits of the drawn order follow one another, so
+    that they form a run. Runs are added up first, and only runs (16 ** ``RUN_DIGITS`` a source at
+    most) share a window with all others of their source; the blocks of a run share one with each other.
+    """
+    blocks = stored(blocks.withColumn("run", F.substring("order", 1, RUN_DIGITS)), "block-sizes")
+    until = Window.unboundedPreceding, Window.currentRow
+    runs = blocks.groupBy("source", "run").agg(F.sum("size").alias("size"))
+    of_source = Window.partitionBy("source").orderBy("run").rowsBetween(*until)
+    bases = runs.select(F.struct("source", "run", (F.sum("size").over(of_source) - F.col("size")).alias("base")).alias("of"))
+    of_run = Window.partitionBy("source", "run").orderBy("order", "b").rowsBetween(*until)
+    inside = blocks.withColumn("inside", F.sum("size").over(of_run) - F.col("size"))
+    both = inside.join(bases, inside["source"].eqNullSafe(F.col("of.source")) & (inside["run"] == F.col("of.run")))
+    return both.select("source", "b", (F.col("of.base") + F.col("inside")).alias("begin"))
+
+
 def mixture(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", gap: float = GAP, repeats: float = REPEATS, budget: float = BUDGET) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_tokens, epoch, block, before``: a row for each time a row is taken.
 
@@ -124,8 +144,8 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
         F.sum("n_tokens").alias("size"), F.min("plan.whole").alias("epoch")
     )
     order = _draw(F.lit("order"), F.col("source"), F.col("epoch"), F.col("b"))
-    in_source = Window.partitionBy("source").orderBy(order, "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begins = blocks.select(F.struct("source", "b", (F.sum("size").over(in_source) - F.col("size")).alias("begin")).alias("at"))
+    begins = _sums_before(blocks.select("source", "b", "size", order.alias("order")))
+    begins = begins.select(F.struct("source", "b", "begin").alias("at"))
 
     place = _draw(F.lit("row"), F.col("plan.whole"), F.col(f"row.`{id_column}`"))
     in_block = (

@@ -1,6 +1,7 @@
 """Document operators on small tables: brute force, round trips, nulls, ties, repeats, clashing names."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -186,6 +187,17 @@ def test_mixing(spark):
     assert mixing.mixed(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [(1, None, "a")])).count() == 0
 
 
+def test_sums_before_blocks(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b"]), b, rng.randrange(9), "%032x" % (rng.randrange(4000) if b % 2 else rng.getrandbits(128))) for b in range(3000)]
+    got = {(r[0], r[1]): r[2] for r in mixing._sums_before(spark.createDataFrame(rows, "source string, b long, size long, order string")).collect()}
+    before, want = Counter(), {}
+    for source, b, size, _ in sorted(rows, key=lambda r: (r[3], r[1])):
+        want[source, b] = before[source]
+        before[source] += size
+    assert got == want
+
+
 @pytest.mark.parametrize("key", list(queries.oracle_sql()))
 def test_sql(spark, key):
     con = connect(SF)
