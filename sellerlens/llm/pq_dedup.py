@@ -2,15 +2,17 @@
 
 Unit vectors stand in inverted lists by their nearest coarse centroid, as codes of their residual:
 the nearest of ``CODES`` code words in each of ``PARTS`` subspaces, with the length of what the code
-misses. Every vector is a query to its own list and to the nearest others, ``PROBES`` at most, of
-those that can hold a link at all: between its centroid and another one the border must be nearer than
-the largest distance of a link. In a list, distances come from tables of the query's distances to the
-code words; a link can't be farther by the table than its largest distance plus what the code misses,
-so this filter loses nothing. What passes is compared by exact cosine in double precision.
+misses. Every vector is a query to its own list and to all others that can hold a link: between its
+centroid and another one the border must be nearer than the largest distance of a link. Two vectors
+that are linked see each other's lists, so that it is enough to ask the list with the smaller number.
+In a list, distances come from tables of the query's distances to the code words; a link can't be
+farther by the table than its largest distance plus what the code misses, so neither filter loses
+anything. What passes is compared by exact cosine in double precision. Centroids nearer to each other
+than half the largest distance of a link are one, so that a dense group isn't split into many lists.
 
 Centroids and code words are fitted on ``SAMPLE`` distinct vectors at most, the first by a hash; all
-vectors are indexed. Equal vectors are one class with a number of members. Lists and their queries are
-dealt out in blocks, and a task returns per vector a number of links and one vector it is connected
+vectors are indexed. Equal vectors are one class with a number of members. Lists, and queries from
+other lists, are dealt out in blocks, and a task returns per vector a number of links and one vector it is connected
 with, never the pairs: a group of thousands of near copies costs comparisons, but no rows.
 """
 
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sellerlens.llm.components import components
 from sellerlens.llm.minhash import forest
@@ -30,11 +33,10 @@ from sellerlens.llm.vectors import k_means, matrix, nearest, squared, unit, usab
 
 COSINE = 0.9
 SAMPLE = 20_000
-LIST_ROWS = 512      # vectors in a list, on average
+LIST_ROWS = 2048     # vectors in a list, on average
 LISTS = 4096         # most lists
-PROBES = 12
 PARTS, CODES = 8, 64
-BLOCK = 1024         # members of a list, and queries, that are compared in one task
+BLOCK = 2048         # members of a list, and queries, that are compared in one task
 
 
 @dataclass(frozen=True)
@@ -59,84 +61,114 @@ class Quantiser:
         return own, np.stack([c for c, _ in parts], axis=1).astype(np.uint8), np.sqrt(sum(d for _, d in parts)) + 1e-6
 
     def probes(self, x: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Lists with a smaller number than the own one that may hold a link."""
         far = squared(x, self.centre)
         mine = far[np.arange(len(x)), own]
         between = np.sqrt(squared(self.centre, self.centre))[own]
         border = (far - mine[:, None]) / np.maximum(2 * between, 1e-12)
-        possible = (border <= self.reach) | (np.arange(len(self.centre)) == own[:, None])
-        order = np.argsort(np.where(possible, far, np.inf), axis=1, kind="stable")[:, :PROBES]
-        return [o[p[o]] for o, p in zip(order, possible, strict=True)]
+        possible = (border <= self.reach) & (np.arange(len(self.centre)) < own[:, None])
+        return [np.flatnonzero(p) for p in possible]
 
     def table_distances(self, x: np.ndarray, list_id: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to the coded members of a list, looked up."""
-        out = np.zeros((len(x), len(codes)))
+        """Squared distances of the coded members of a list (rows) to queries, looked up."""
+        out = np.zeros((len(codes), len(x)))
         for k, (part, w) in enumerate(zip(self.subspaces(x - self.centre[list_id]), self.words, strict=True)):
-            out += squared(part, w)[:, codes[:, k]]
+            out += squared(w, part)[codes[:, k]]
         return out
 
 
+def _apart(centre: np.ndarray, distance: float) -> np.ndarray:
+    """Centroids without those that are as near as ``distance`` to one before them that stays."""
+    left, kept = np.arange(len(centre)), []
+    while len(left):
+        kept.append(left[0])
+        left = left[1:][squared(centre[left[1:]], centre[left[:1]])[:, 0] > distance**2]
+    return centre[kept]
+
+
 def fit(sample: np.ndarray, n: int, cosine: float) -> Quantiser:
     lists = int(min(max(1, -(-n // LIST_ROWS)), LISTS, len(sample)))
-    centre = k_means(sample, lists)
+    centre = _apart(k_means(sample, lists), float(np.sqrt(2 - 2 * cosine)) / 2)
     residual = sample - centre[nearest(sample, centre)[0]]
     parts = np.array_split(residual, min(PARTS, sample.shape[1]), axis=1)
     return Quantiser(centre, [k_means(p, min(CODES, len(p))) for p in parts], cosine)
 
 
-def _indexed(model: Quantiser):
+def _indexed(model: Quantiser, kind: str):
     def run(batches):
         for batch in batches:
-            x = unit(matrix(batch["v"])) if len(batch) else np.zeros((0, model.centre.shape[1]))
+            v = matrix(batch["v"])
+            x = unit(v) if len(batch) else np.zeros((0, model.centre.shape[1]))
             own, codes, missed = model.encode(x)
             yield pd.DataFrame({
-                "node": batch["node"], "members": batch["members"], "u": list(x), "list": own,
+                "node": batch["node"], "members": batch["members"], "v": [r.tobytes() for r in v.astype(kind)], "list": own,
                 "codes": [c.tobytes() for c in codes], "missed": missed, "probes": model.probes(x, own),
             })
 
     return run
 
 
-def _compared(model: Quantiser):
-    """Links between one block of a list's members and one block of its queries."""
+def _compared(model: Quantiser, kind: str):
+    """Links between one block of a list's members and one block of queries: of the list itself, or of others."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        members, queries = rows[rows["member"]], rows[~rows["member"]]
+        members, queries = rows[rows["member"]], rows[rows["query"]]
         if not len(members) or not len(queries):
             return pd.DataFrame({"node": [], "links": [], "root": []})
-        here = int(members["probed"].iloc[0])
-        x, q = matrix(members["u"]), matrix(queries["u"])
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in members["codes"]])
-        allowed = (model.reach + members["missed"].to_numpy()) ** 2
-        close = model.table_distances(q, here, codes) <= allowed[None, :]
-        # A pair of two lists that see each other is judged in the smaller list, one of the same list once.
-        theirs = queries["list"].to_numpy()
-        probed = np.zeros((len(members), len(model.centre)), bool)
-        at = members["probes"].map(len).to_numpy()
-        probed[np.repeat(np.arange(len(members)), at), np.concatenate(list(members["probes"])).astype(int)] = True
-        back = probed.T[theirs]
+        x, q = (unit(np.frombuffer(b"".join(r["v"]), kind).reshape(len(r), -1).astype(np.float64)) for r in (members, queries))
+        codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
+        close = model.table_distances(q, int(members["probed"].iloc[0]), codes)
+        close = close <= ((model.reach + members["missed"].to_numpy()) ** 2)[:, None]
         m, n = members["node"].to_numpy(), queries["node"].to_numpy()
-        mine = np.where((theirs == here)[:, None], n[:, None] < m[None, :], ~back | (theirs > here)[:, None])
-        i, j = np.nonzero(close & mine)
+        if rows["inside"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]:
+            close &= n[None, :] < m[:, None]
+        i, j = np.nonzero(close)
         linked = np.zeros(close.shape, bool)
         for at in range(0, len(i), 100_000):
             a, b = i[at : at + 100_000], j[at : at + 100_000]
-            linked[a, b] = (q[a] * x[b]).sum(axis=1) >= model.cosine
+            linked[a, b] = (x[a] * q[b]).sum(axis=1) >= model.cosine
         nodes, place = np.unique(np.concatenate([m, n]), return_inverse=True)
         pm, pn = place[: len(m)], place[len(m) :]
         links = np.zeros(len(nodes), np.int64)
-        np.add.at(links, pn, linked @ members["members"].to_numpy())
-        np.add.at(links, pm, queries["members"].to_numpy() @ linked)
+        np.add.at(links, pm, linked @ queries["members"].to_numpy())
+        np.add.at(links, pn, members["members"].to_numpy() @ linked)
         some = np.flatnonzero(links)
         spot = np.full(len(nodes), -1)
         spot[some] = np.arange(len(some))
         a, b = np.nonzero(linked)
         square = np.zeros((len(some), len(some)), bool)
-        square[spot[pn[a]], spot[pm[b]]] = square[spot[pm[b]], spot[pn[a]]] = True
+        square[spot[pm[a]], spot[pn[b]]] = square[spot[pn[b]], spot[pm[a]]] = True
         return pd.DataFrame({"node": nodes[some], "links": links[some], "root": nodes[some][forest(square)]})
 
     return run
 
 
+def _dealt(index: DataFrame) -> DataFrame:
+    """Rows by ``probed, inside, i, j``: blocks ``i`` of a list's members with blocks ``j`` of its queries.
+
+    Inside a list both are blocks of its members, and a row is on both sides where they are the same.
+    """
+    columns = [F.col(c) for c in ("probed", "node", "members", "v", "codes", "missed")]
+    members = index.withColumn("probed", F.col("list"))
+    queries = index.withColumn("probed", F.explode("probes"))
+    sizes = members.groupBy("probed").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(
+        queries.groupBy("probed").agg(F.ceil(F.count("*") / BLOCK).alias("asked")), "probed", "left"
+    )
+    sizes = stored(sizes.select("probed", "blocks", F.coalesce("asked", F.lit(0)).alias("asked")), "list-sizes")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    members, queries = members.join(sizes, "probed"), queries.join(sizes, "probed")
+    inside = members.withColumn("own", block("blocks")).withColumn("other", upto("blocks")).select(
+        *columns, F.lit(True).alias("inside"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") <= F.col("other")).alias("member"), (F.col("own") >= F.col("other")).alias("query"),
+    )
+    sides = F.lit(True).alias("member"), F.lit(False).alias("query")
+    asked = members.where("asked > 0").withColumn("j", upto("asked")).select(*columns, F.lit(False).alias("inside"), block("blocks").alias("i"), "j", *sides)
+    sides = F.lit(False).alias("member"), F.lit(True).alias("query")
+    asking = queries.withColumn("i", upto("blocks")).select(*columns, F.lit(False).alias("inside"), "i", block("asked").alias("j"), *sides)
+    return inside.unionByName(asked).unionByName(asking)
+
+
 def near_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per row of ``table``: ``vec_id, n_links, component_id, kept``.
 
@@ -161,24 +193,13 @@ def near_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str
     n = first.count()
     sample = unit(matrix(first.orderBy(F.xxhash64("key"), "node").limit(SAMPLE).toPandas()["v"]))
     model = fit(sample, n, cosine)
-    kinds = "node long, members long, u array<double>, list int, codes binary, missed double, probes array<int>"
-    index = stored(first.select("node", "members", "v").mapInPandas(_indexed(model), kinds), "index")
-
-    members = index.select("*", F.col("list").alias("probed"), F.lit(True).alias("member"))
-    queries = index.select("*", F.explode("probes").alias("probed"), F.lit(False).alias("member"))
-    block = F.pmod(F.xxhash64("node"), F.col("n"))
-    counts = members.groupBy("probed").agg(F.ceil(F.count("*") / BLOCK).alias("members_in")).join(
-        queries.groupBy("probed").agg(F.ceil(F.count("*") / BLOCK).alias("queries_in")), "probed", "left"
-    ).select("probed", F.coalesce("queries_in", F.lit(1)).alias("queries_in"), "members_in")
-    both = members.unionByName(queries).join(stored(counts, "list-sizes"), "probed")
-    both = both.withColumn("n", F.when(F.col("member"), F.col("members_in")).otherwise(F.col("queries_in")))
-    both = both.withColumn("own", block).withColumn("others", F.when(F.col("member"), F.col("queries_in")).otherwise(F.col("members_in")))
-    both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
-    dealt = both.select(
-        *members.columns, F.when(F.col("member"), F.col("own")).otherwise(F.col("other")).alias("mb"),
-        F.when(F.col("member"), F.col("other")).otherwise(F.col("own")).alias("qb"),
-    )
-    found = stored(dealt.groupBy("probed", "mb", "qb").applyInPandas(_compared(model), "node long, links long, root long"), "found")
+    # Vectors travel in the type they came in, and are normalised where they are compared.
+    single = isinstance(getattr(table.schema[vector_column].dataType, "elementType", None), T.FloatType)
+    kind = "<f4" if single else "<f8"
+    kinds = "node long, members long, v binary, list int, codes binary, missed double, probes array<int>"
+    index = stored(first.select("node", "members", "v").mapInPandas(_indexed(model, kind), kinds), "index")
+    dealt = _dealt(index).groupBy("probed", "inside", "i", "j")
+    found = stored(dealt.applyInPandas(_compared(model, kind), "node long, links long, root long"), "found")
 
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

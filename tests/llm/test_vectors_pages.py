@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sellerlens.llm import hnsw, html_text, pq_dedup
@@ -101,3 +102,18 @@ def test_pipeline(spark):
     assert counts[0] >= counts[1] == counts[2] >= counts[3] > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.agg({"length": "sum"}).first()[0] == last.where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
+
+
+def test_near_vectors_of_one_group_in_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 8)
+    monkeypatch.setattr(pq_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=16) + 0.4 * rng.normal(size=(900, 16))).astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(pq_dedup.fit(u, len(u), 0.9).centre) > 25
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    table = frame(spark, [(k, v.tolist(), 1, "n") for k, v in enumerate(x)])
+    for vectors in (table, table.withColumn("embedding", F.col("embedding").cast("array<float>"))):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.near_vectors(vectors).collect()}
+        assert got == dict(enumerate(zip(linked.sum(axis=1), forest(linked), strict=True)))
