@@ -18,6 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sellerlens.llm import line_dedup, minhash, mixing, packing, toxicity  # noqa: E402
 from sellerlens.llm.shared import stored, table  # noqa: E402
 
+NEAR = 80  # per cent of shingles that near copies share; op6_minhash_near_dedup has a threshold of its own
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +30,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.without_copies(docs)
+    return minhash.without_copies(docs, percent=NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

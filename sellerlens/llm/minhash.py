@@ -34,14 +34,14 @@ from sellerlens.llm.components import components
 from sellerlens.llm.shared import by_batches, stored
 
 WORDS = 5          # words in a shingle
-PERCENT = 85       # documents are linked at this Jaccard similarity or more
+PERCENT = 85       # documents are linked at this Jaccard similarity or more, if no other is given
 SKETCH = 64        # hashes kept for the estimate
 LISTED = 32        # of these, the ones that may become keys
 RARE_KEYS = 16
 COMMON_KEYS = 6
 RARE_SHARE = 0.375
 COMMON = 50        # a value that more classes retain is common
-SLACK = 0.21       # four and a half standard deviations of the estimate at the threshold
+SLACK = 4.7        # standard deviations of the estimate at the threshold that a pair may fall short
 BLOCK = 512        # classes that are intersected at once
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -114,26 +114,31 @@ def _estimate(s, t):
     return F.size(F.array_intersect(F.array_intersect(s, t), union)) / F.size(union)
 
 
-def _near_in_size(m, n):
-    return F.least(m, n) * 100 >= F.greatest(m, n) * PERCENT
+def _near_in_size(m, n, percent: int):
+    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def _candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _least_estimate(percent: int) -> float:
+    t = percent / 100
+    return t - SLACK * (t * (1 - t) / SKETCH) ** 0.5
+
+
+def _candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and estimated similarity allow a link."""
     s = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     t = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return (
         pairs.distinct().join(s, "a").join(t, "b")
-        .where(_near_in_size(F.col("na"), F.col("nb")) & (_estimate(F.col("sa"), F.col("sb")) >= PERCENT / 100 - SLACK))
+        .where(_near_in_size(F.col("na"), F.col("nb"), percent) & (_estimate(F.col("sa"), F.col("sb")) >= _least_estimate(percent)))
         .select("a", "b")
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     s = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     t = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(s, "a").join(t, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * PERCENT).select("a", "b")
+    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -149,7 +154,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links within one block, or between two, of a list; exact, from the full sets."""
     rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
     sizes = rows["set"].map(len).to_numpy()
@@ -168,7 +173,7 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros((len(rows), min(4096, len(shared) - at)), np.float32)
         held[owner[lo:hi], column[lo:hi] - at] = 1
         common += held @ held.T
-    linked = common * 100 >= (sizes[:, None] + sizes[None, :] - common) * PERCENT
+    linked = common * 100 >= (sizes[:, None] + sizes[None, :] - common) * percent
     label = forest(linked)
     found = np.flatnonzero(label != np.arange(len(rows)))
     names = rows["node"].to_numpy()
@@ -190,7 +195,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     )).alias("v"))
 
 
-def _blocks(long: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links in long lists. A class goes to as many tasks as its list has blocks of ``BLOCK``."""
     n = F.ceil(F.col("listed") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
@@ -199,12 +204,12 @@ def _blocks(long: DataFrame, sets: DataFrame) -> DataFrame:
     )
     dealt = dealt.select("node", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return dealt.join(sets, "node").groupBy("v", "i", "j").applyInPandas(
-        _block_links, "a long, b long"
+        lambda rows: _block_links(rows, percent), "a long, b long"
     )
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``, linked at ``percent`` or more.
 
     Null or empty texts have no shingles and stay alone. Rows that repeat an id are judged by their
     own text each. Rows without an id are linked with nothing, have a null ``component_id`` and are
@@ -220,11 +225,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sizes = listed.groupBy("v").agg(F.count("*").alias("listed"), F.min("node").alias("first")).where("listed > 1")
     lists = stored(listed.join(sizes, "v"), "lists")
     star = lists.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    first = stored(_candidates(star, classes), "first")
+    first = stored(_candidates(star, classes, percent), "first")
     long = lists.where(F.col("listed") > COMMON)
 
     sets = stored(_sets_of(narrow, classes, _ends(first).unionByName(long.select("node"))), "sets")
-    links = stored(_verified(first, sets), "links")
+    links = stored(_verified(first, sets, percent), "links")
     roots = components(links)
     placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("v")
@@ -233,10 +238,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     short = placed.where(F.col("listed") <= COMMON)
     other = short.select("v", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = short.join(other, "v").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    second = stored(_candidates(pairs.select(F.col("node").alias("a"), "b"), classes), "second")
+    second = stored(_candidates(pairs.select(F.col("node").alias("a"), "b"), classes, percent), "second")
     more = stored(_sets_of(narrow, classes, _ends(second)), "sets")
-    links = links.unionByName(_verified(second, more)).unionByName(
-        _blocks(placed.where(F.col("listed") > COMMON).select("node", "v", "listed"), sets)
+    links = links.unionByName(_verified(second, more, percent)).unionByName(
+        _blocks(placed.where(F.col("listed") > COMMON).select("node", "v", "listed"), sets, percent)
     )
     return _labelled(sketched, classes, components(stored(links, "links")))
 
@@ -278,12 +283,12 @@ def _labelled(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     )
 
 
-def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; columns unchanged.
 
     Rows without an id stay, and so do all rows of an id that stands on several texts if one is kept.
     """
-    labelled = near_duplicates(docs, id_column, text_column)
+    labelled = near_duplicates(docs, id_column, text_column, percent)
     fate = labelled.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept"))
     gone = stored(fate.where(~F.col("kept")).select("_gone"), "gone")
     return docs.join(gone, docs[id_column].cast("long") == F.col("_gone"), "left_anti")

@@ -1,12 +1,13 @@
 """Every stage of the pipeline against plain Python or SQL, each on what the stage before it kept."""
 
+import math
 from collections import Counter
 
 import duckdb
 import numpy as np
 
 import corpus_pipeline
-from sellerlens.llm import line_dedup, packing, queries, tokens, toxicity
+from sellerlens.llm import line_dedup, minhash, packing, queries, tokens, toxicity
 from tests.llm.test_documents import brute_components, reference_ids
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +66,39 @@ def test_stages_equal_brute_force(spark, tmp_path):
         ends[p["sequence_id"]] += p["length"]
     assert at == len(stream) and max(ends.values()) <= packing.WINDOW
     assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == want
+
+
+def test_near_copies_at_the_stage_threshold(spark):
+    """Jaccard 0.82 and 0.80: one document for the stage, two for the query; 0.79: two for both."""
+    rows = []
+    for k, cut in enumerate((82, 80, 79)):
+        w = [f"w{k}x{n}" for n in range(104)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: cut + 4]))]  # 100 shingles, and the first of them
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == [0, 2, 4, 5]
+    assert minhash.without_copies(docs).count() == 6
+
+
+def test_slack_and_first_keys_at_both_thresholds():
+    for percent in (80, 85):
+        t, n = percent / 100, minhash.SKETCH
+        low = sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n + 1) if k / n < minhash._least_estimate(percent))
+        assert low < 2e-5 and (1 - t) ** minhash.RARE_KEYS < 1e-6
+
+
+def test_near_copies_of_the_stage_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    kept = corpus_pipeline.without_copies(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in ids if root[i] == i]
