@@ -1,6 +1,6 @@
 """Licence notices in documents, by likeness with templates.
 
-Lines, and the sentences of longer lines, are normalised and compared with templates by the Dice
+Lines, and the sentences of lines, are normalised and compared with templates by the Dice
 coefficient of their sets of word bigrams. With ``a`` bigrams against ``b``, the coefficient is at most
 2 min(a, b) / (a + b), so that only templates with a size in reach of the threshold are compared; a
 segment that is out of reach of all templates isn't even cut into bigrams.
@@ -44,6 +44,7 @@ TEMPLATES = [
 ]
 
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý\"(])")
 _OWNER = re.compile(r"copyright\s*(?:\(c\)|©)?\s*(?:\d{4}(?:\s*[-,]\s*\d{4})*)?[^.\n]{0,60}?(?=licen[sc]|released|all rights|$)")
 
 
@@ -82,7 +83,9 @@ class Templates:
         longest = 12 * max(self.reach, default=0) + 200  # characters of a segment in reach, amply
         for k, line in enumerate((text or "").split("\n")):
             segments = [line] if len(line) <= longest else []
-            segments += re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý\"(])", line) if len(line) > 60 else []
+            if "." in line or "!" in line or "?" in line:
+                sentences = _SENTENCE.split(line)
+                segments += sentences if len(sentences) > 1 else []
             found = [b for s in segments if len(s) <= longest and (b := self.best(s))]
             if found:
                 dice, name = max(found, key=lambda s: (s[0], [-ord(c) for c in s[1]]))

@@ -255,3 +255,9 @@ def test_licences_equal_brute_force():
         scores = [2 * len(b & t) / (len(b) + n) for n, _, t in known.sets]
         found = known.best(" ".join(w))
         assert (found[0] if found else None) == (max(scores) if max(scores) >= licences.DICE else None)
+
+
+def test_licences_after_a_short_sentence():
+    known = licences.Templates(licences.TEMPLATES, licences.DICE)
+    text = "Enjoy the show. Licensed under CC BY 4.0.\nThanks to all who helped. Licensed under CC BY 4.0.\nNo. Yes!"
+    assert list(known.lines(text)) == [(0, "CC-BY-4.0", 1.0), (1, "CC-BY-4.0", 1.0)]
