@@ -261,3 +261,40 @@ def test_licences_after_a_short_sentence():
     known = licences.Templates(licences.TEMPLATES, licences.DICE)
     text = "Enjoy the show. Licensed under CC BY 4.0.\nThanks to all who helped. Licensed under CC BY 4.0.\nNo. Yes!"
     assert list(known.lines(text)) == [(0, "CC-BY-4.0", 1.0), (1, "CC-BY-4.0", 1.0)]
+
+
+def test_licence_bodies_and_wrapped_notices(spark):
+    import textwrap
+
+    rows = []
+    for k, (_, body) in enumerate(licences.BODIES):
+        rows += [(2 * k, "Some words first.\n\n" + textwrap.fill(body, 40 + 5 * k) + "\n\nOther words follow here.", "a"), (2 * k + 1, body, "a")]
+    rows += [(100, "About it\nThis work is licensed under the GNU General\nPublic License, version 3.\nmore", "a"),
+             (101, "It was late.\nHe said it is licensed under the sun\nand went home.", "a"), (102, "Released under the MIT License.\nIt is short.", "a")]
+    got = {(r["doc_id"], r["line_no"], r["licence"]): r["dice"] for r in licences.scan(docs(spark, rows)).collect()}
+    for k, (name, _) in enumerate(licences.BODIES):
+        assert got.get((2 * k, 2, name), 0) > 0.95 and got.get((2 * k + 1, 0, name), 0) > 0.95, name
+    assert (100, 1, "GPL-3.0") in got and got[102, 0, "MIT"] == 1 and not any(i == 101 for i, _, _ in got)
+    assert sum(i in (100, 102) for i, _, _ in got) == 2
+
+
+def test_runs_equal_brute_force():
+    runs = licences.Runs(licences.TEMPLATES, licences.BODIES, licences.DICE)
+    rng = random.Random(8)
+    for _ in range(60):
+        w = licences.plain_words(rng.choice(licences.TEMPLATES + licences.BODIES)[1])
+        for _ in range(rng.randint(0, len(w) // 6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["the", "of", "x"]))
+        w = ["some", "words", *w, "and", "more"]
+        lines, at = [], 0
+        while at < len(w):
+            n = rng.randint(1, 9)
+            lines.append(w[at : at + n])
+            at += n
+        best = 0
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                b = licences.bigrams(sum(lines[i : j + 1], []))
+                best = max([best, *(2 * len(b & t) / (len(b) + len(t)) for _, t, one in runs.sets if one or j > i)])
+        found = runs.found("\n".join(" ".join(x) for x in lines))
+        assert max((f[0] for f in found), default=None) == (best if best >= licences.DICE else None)
