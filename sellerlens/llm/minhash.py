@@ -5,9 +5,8 @@
 3. Retained values generate candidates through inverted lists. Values that more than ``COMMON``
    classes retain (passages and lines shared by many) move behind all others in the order of
    values; any fixed order keeps the property that similar sets share their smallest values. A class
-   is listed under its first ``RARE_KEYS`` rare values, and under its first ``COMMON_KEYS`` common
-   ones only if rare values are less than ``RARE_SHARE`` of its sketch, for then they may not show
-   a link.
+   is listed under its first rare values, and under its first common ones too if its rare values
+   could all be unshared at the threshold with a probability over ``MISSED``.
 4. In each list all classes are first compared with the list's first class only: sizes, then the
    similarity estimated from the sketch of the union, then exact Jaccard over the full sets. What is
    connected that way needs no further comparison.
@@ -16,13 +15,15 @@
    intersected at once inside a task. A task only returns a spanning forest of the links it finds,
    so that nothing of quadratic size is ever written or shuffled, and no pair is left out.
 
-Two sets at the threshold share none of their first 16 rare values with a probability under 1e-6;
-sets of up to 16 shingles always share one.
+At the threshold a value of a set is unshared with a probability of 1 - t at most. So many rare values
+are listed (``rare_keys``) that more of the ``LISTED`` ones are unshared with a probability under
+``MISSED``; with fewer, so many common ones (``common_keys``) that all are with one under ``MISSED``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,7 @@ WORDS = 5          # words in a shingle
 PERCENT = 85       # documents are linked at this Jaccard similarity or more, if no other is given
 SKETCH = 64        # hashes kept for the estimate
 LISTED = 32        # of these, the ones that may become keys
-RARE_KEYS = 16
-COMMON_KEYS = 6
-RARE_SHARE = 0.375
+MISSED = 1e-6      # probability that the keys of a set at the threshold are all unshared
 COMMON = 50        # a value that more classes retain is common
 SLACK = 4.7        # standard deviations of the estimate at the threshold that a pair may fall short
 BLOCK = 512        # classes that are intersected at once
@@ -180,7 +179,18 @@ def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": names[label[found]], "b": names[found]})
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def rare_keys(percent: int) -> int:
+    """Smallest number of values that are all unshared among ``LISTED`` with a probability under ``MISSED``."""
+    t = percent / 100
+    tail = lambda r: sum(math.comb(LISTED, k) * (1 - t) ** k * t ** (LISTED - k) for k in range(r, LISTED + 1))
+    return next((r for r in range(LISTED + 1) if tail(r) < MISSED), LISTED + 1)
+
+
+def common_keys(percent: int) -> int:
+    return next((k for k in range(1, LISTED) if (1 - percent / 100) ** k < MISSED), LISTED)
+
+
+def _keys(classes: DataFrame, percent: int) -> DataFrame:
     """``(node, v)``: the lists each class stands in."""
     retained = classes.select("node", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     common = retained.groupBy("v").count().where(F.col("count") > COMMON).select("v", F.lit(True).alias("common"))
@@ -189,9 +199,10 @@ def _keys(classes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("v")))).alias("rare"),
         F.sort_array(F.collect_list(F.when(F.col("common"), F.col("v")))).alias("often"),
     )
-    few = F.size("rare") < RARE_SHARE * (F.size("rare") + F.size("often"))
+    rare = rare_keys(percent)
+    few = F.size("rare") < rare
     return split.select("node", F.explode(F.concat(
-        F.slice("rare", 1, RARE_KEYS), F.when(few, F.slice("often", 1, COMMON_KEYS)).otherwise(F.array().cast("array<bigint>"))
+        F.slice("rare", 1, rare), F.when(few, F.slice("often", 1, common_keys(percent))).otherwise(F.array().cast("array<bigint>"))
     )).alias("v"))
 
 
@@ -221,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketched = stored(narrow.mapInPandas(_sketches, "id long, n long, class string, sketch array<long>"), "sketches")
     classes = stored(_classes(sketched), "classes")
 
-    listed = _keys(classes)
+    listed = _keys(classes, percent)
     sizes = listed.groupBy("v").agg(F.count("*").alias("listed"), F.min("node").alias("first")).where("listed > 1")
     lists = stored(listed.join(sizes, "v"), "lists")
     star = lists.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))

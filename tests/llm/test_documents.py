@@ -298,3 +298,11 @@ def test_runs_equal_brute_force():
                 best = max([best, *(2 * len(b & t) / (len(b) + len(t)) for _, t, one in runs.sets if one or j > i)])
         found = runs.found("\n".join(" ".join(x) for x in lines))
         assert max((f[0] for f in found), default=None) == (best if best >= licences.DICE else None)
+
+
+def test_minhash_lists_classes_with_rare_tails_under_common_values(spark):
+    shared = list(range(1000, 1020))  # on 60 classes, each with 12 smaller values of its own
+    rows = [(k, [100_000 * -k - n for n in range(12, 0, -1)] + shared) for k in range(1, 61)]
+    keys = minhash._keys(spark.createDataFrame(rows, "node long, sketch array<long>"), 85).where("v >= 1000")
+    assert keys.select("node").distinct().count() == 60
+    assert minhash.rare_keys(85) > 16 and minhash.common_keys(85) == 8
