@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sellerlens.llm import (
     binary_ids,
+    conversation_trie,
     hnsw,
     html_text,
     licences,
@@ -17,7 +18,9 @@ from sellerlens.llm import (
     mixing,
     packing,
     pq_dedup,
+    sentence_pieces,
     toxicity,
+    whitening,
 )
 from sellerlens.llm.shared import table
 
@@ -65,10 +68,23 @@ def op10_binary_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids.checksums(*binary_ids.write_ids(table(spark, folder, "documents")))
 
 
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_pieces.digests(sentence_pieces.round_trip(table(spark, folder, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_licence_scan, op2_packing, op3_line_dedup, op4_embedding_near_dedup, op5_source_mixing,
         op6_minhash_near_dedup, op7_nearest_neighbours, op8_toxicity, op9_html_extraction, op10_binary_token_ids,
+        op11_sentence_pieces, op12_embedding_whitening, op13_conversation_trie,
     ]
     return {f.__name__: f for f in found}
 
@@ -159,5 +175,45 @@ FROM placed
 """
 
 
+# CRC-32 of the decimal id, bit by bit; 3988292384 is its polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ord(z)::BIGINT)),
+    lambda c, z: list_reduce(list_prepend(xor(c, z), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - ((conv_id % 100) + 100) % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+), s AS (
+  SELECT c.conv_id, coalesce(list({{'role': r.role, 'text': r.text}} ORDER BY part, i) FILTER (WHERE i IS NOT NULL), []) AS s
+  FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id
+), p AS (
+  SELECT conv_id, len(s) AS l, unnest(range(0, len(s) + 1)) AS d, s FROM s
+), n AS (
+  SELECT d AS depth, s[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE l = d), '')) AS ends_sha256
+  FROM p GROUP BY ALL
+), k AS (
+  SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), m AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.p = k.p
+), below AS (
+  SELECT p[1:a] AS p, a AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT p, unnest(range(0, depth + 1)) AS a, n_children,
+               CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(p[depth].text) END AS saved FROM m)
+  GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, b.n_leaves, b.saved_tokens, m.ends_sha256
+FROM m JOIN below b ON m.depth = b.depth AND m.p = b.p LEFT JOIN n u ON u.depth = m.depth - 1 AND u.p = m.p[1:m.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op5_source_mixing": MIXING_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op5_source_mixing": MIXING_SQL, "op13_conversation_trie": TRIE_SQL}
