@@ -40,7 +40,7 @@ def corpus():
     return rows
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t, _ in rows:
         w = bytes((t or "").encode()).lower().split()
@@ -56,7 +56,7 @@ def brute_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}

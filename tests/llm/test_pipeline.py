@@ -48,7 +48,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {i: r["text"] for i, r in stripped.items()} == without_lines(clean)
     assert all(r["n_chars"] == len(r["text"]) for i, r in stripped.items() if r["text"] != clean[i]["text"])
 
-    root = brute_components([(i, r["text"], None) for i, r in stripped.items()])
+    root = brute_components([(i, r["text"], None) for i, r in stripped.items()], corpus_pipeline.NEAR)
     assert by_id(kept["minhash_near_dedup"]) == {i: r for i, r in stripped.items() if root[i][1] == i}
 
     con = duckdb.connect()
