@@ -37,6 +37,8 @@ SECTION = 1_000_000      # characters the library encodes at a time when results
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 PLACE = 32               # bits of an agenda entry that hold a symbol's place
 LOW = (1 << PLACE) - 1
+SHORT = 48               # characters up to which an agenda is a list
+NEVER = 1 << 31          # rank of a pair that is no piece
 
 
 def model_path(name: str = MODEL) -> str:
@@ -94,9 +96,21 @@ class Pieces:
     def merged(self, word: str) -> list[str]:
         """Symbols of a stretch of normalised text, by an agenda of adjacent pairs.
 
-        An entry is the rank of the pair's piece with the place of its left symbol in the low bits.
+        An entry is the rank of the pair's piece with the place of its left symbol in the low bits. The agenda of a
+        short word is a list of ranks by place, which costs less to search than a heap costs to keep.
         """
         symbols, n, rank = list(word), len(word), self.rank
+        if n <= SHORT:
+            agenda = [rank.get(word[i : i + 2], NEVER) for i in range(n - 1)]
+            while agenda and (best := min(agenda)) < NEVER:
+                i = agenda.index(best)
+                symbols[i] = piece = symbols[i] + symbols[i + 1]
+                del symbols[i + 1], agenda[i]
+                if i < len(agenda):
+                    agenda[i] = rank.get(piece + symbols[i + 1], NEVER)
+                if i:
+                    agenda[i - 1] = rank.get(symbols[i - 1] + piece, NEVER)
+            return symbols
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [rank[word[i : i + 2]] << PLACE | i for i in range(n - 1) if word[i : i + 2] in rank]
         heapify(agenda)
