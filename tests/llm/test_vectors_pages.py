@@ -117,3 +117,52 @@ def test_near_vectors_of_one_group_in_many_lists(spark, monkeypatch):
     for vectors in (table, table.withColumn("embedding", F.col("embedding").cast("array<float>"))):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.near_vectors(vectors).collect()}
         assert got == dict(enumerate(zip(linked.sum(axis=1), forest(linked), strict=True)))
+
+
+def brute_links(rows, cosine=0.9):
+    """Number of linked ids and smallest id reachable, by id, over vectors of equal length."""
+    ids = [i for i, *_ in rows]
+    linked = np.zeros((len(rows), len(rows)), bool)
+    lengths = np.array([len(v) for _, v, *_ in rows])
+    for d in set(lengths.tolist()):
+        at = np.flatnonzero(lengths == d)
+        u = np.stack([rows[k][1] for k in at])
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
+        linked[np.ix_(at, at)] = u @ u.T >= cosine
+    np.fill_diagonal(linked, False)
+    roots = forest(linked)
+    return {i: (int(linked[k].sum()), ids[roots[k]]) for k, i in enumerate(ids)}
+
+
+def test_near_vectors_of_all_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.0]), (5, [1.0, 2.0, 0.1]), (6, [-1.0]), (7, [3.0]), (8, [4.0])]
+    rows += [(100 + k, (rng.normal(size=3) + [4, 0, 0]).tolist()) for k in range(60)] + [(200 + k, rng.normal(size=2).tolist()) for k in range(60)]
+    want = brute_links(rows)
+    for exact in (False, True):
+        again = rows + [rows[0], (None, [1.0, 2.0])]  # a repeated row is the same vector
+        got = pq_dedup.near_vectors(frame(spark, [(*r, 1, "n") for r in again]), exact=exact).collect()
+        assert len(got) == len(again)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None} == want
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "clustered", "dense third"])
+def test_recall_of_near_vectors(spark, monkeypatch, shape):
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 40)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 32))
+    if shape == "clustered":
+        x = rng.normal(size=(30, 32))[rng.integers(0, 30, 1500)] * 2 + 0.6 * rng.normal(size=(1500, 32))
+    if shape == "dense third":
+        x[:500] = 6 * rng.normal(size=32) / 5.6 + 0.32 * rng.normal(size=(500, 32))
+    for k in range(0, 1000, 4):  # pairs around the threshold
+        x[1499 - k // 4] = x[k] + np.linalg.norm(x[k]) * rng.uniform(0.2, 0.48) * rng.normal(size=32) / 32**0.5
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    want = brute_links(rows)
+    links = sum(n for n, _ in want.values())
+    assert links > 200
+    for exact in (False, True):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.near_vectors(frame(spark, [(*r, 1, "n") for r in rows]), exact=exact).collect()}
+        if exact:
+            assert got == want
+        assert sum(n for n, _ in got.values()) >= 0.999 * links and all(got[k][0] <= want[k][0] for k in want)
