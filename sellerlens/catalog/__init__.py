@@ -9,9 +9,10 @@ from sellerlens.catalog.registry import Registry
 
 @cache
 def registry() -> Registry:
-    from sellerlens.catalog import article_queries, feed_queries
+    from sellerlens.catalog import article_queries, feed_queries, landed_queries
 
     r = Registry()
     article_queries.add_to(r)
     feed_queries.add_to(r)
+    landed_queries.add_to(r)
     return r

@@ -308,16 +308,6 @@ def _add_feeds(r: Registry) -> None:
         return df.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c in columns})
 
     stamp = "strftime(date, '%Y-%m-%dT%H:%M:%S') AS date"
-    r.add("scan_orders",
-          lambda s, d: px.orders(s, d, *schemas.ORDER_COLUMNS)
-          .transform(text_dates, "date").withColumn("discountPercent", F.round("discountPercent", 6)),
-          sql(f"""SELECT {stamp}, supplierArticle, totalPrice AS "totalPrice", round(discountPercent,6) AS "discountPercent",
-                  warehouseName AS "warehouseName", oblast, subject, category, cancel_dt FROM v_orders""", "v_orders"))
-    r.add("scan_sales",
-          lambda s, d: feeds.decode(body(text_dates(px.sales(s, d, "supplierArticle", *px.SOLD), "date")), "sales")
-          .select("date", "supplierArticle", "totalPrice", F.round("discountPercent", 6).alias("discountPercent"), "spp", "IsStorno"),
-          sql(f"""SELECT {stamp}, supplierArticle, totalPrice, round(discountPercent,6) AS discountPercent, spp, IsStorno
-                  FROM v_sales""", "v_sales"))
     r.add("scan_stocks",
           lambda s, d: feeds.decode(body(px.stocks(s, d)), "stocks"),
           sql("SELECT supplierArticle, quantity FROM v_stocks", "v_stocks"))
@@ -335,10 +325,6 @@ def _add_feeds(r: Registry) -> None:
     storage = schemas.row(nmId=schemas.LONG, brand=schemas.TEXT, warehousePrice=schemas.DOUBLE)
     r.add("scan_paid_storage", lambda s, d: feeds.decode_array(px.storage_bodies(s, d), storage),
           """SELECT p_partkey AS "nmId", p_brand AS brand, p_retailprice AS "warehousePrice" FROM part""")
-    returned = schemas.row(orderId=schemas.LONG, nmId=schemas.LONG, returnDate=schemas.TEXT)
-    r.add("scan_goods_return", lambda s, d: feeds.decode_array(px.goods_return_bodies(s, d), returned, field="report"),
-          """SELECT l_orderkey AS "orderId", l_partkey AS "nmId", strftime(l_shipdate,'%Y-%m-%d') AS "returnDate"
-             FROM lineitem""")
     r.add("orders_since",
           lambda s, d: feeds.changed_since(px.orders(s, d, "srid", "lastChangeDate", "totalPrice"), "2001-09-15T00:00:00")
           .select("srid", _iso("lastChangeDate"), "totalPrice"),

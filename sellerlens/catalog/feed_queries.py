@@ -257,9 +257,6 @@ def _stored_index(spark: SparkSession, lines: DataFrame) -> DataFrame:
 def _add_settlement(r: Registry) -> None:
     iso = "strftime(date_from,'%Y-%m-%d') AS date_from, strftime(date_to,'%Y-%m-%d') AS date_to"
     lines = lambda s, d: settlement.typed(px.settlement(s, d))
-    r.add("settlement_after_cursor",
-          lambda s, d: feeds.after_cursor(feeds.union_chunks(lines(s, d), lines(s, d)), 5000).select("rrd_id", "realizationreport_id", "ppvz_for_pay"),
-          sql("SELECT rrd_id, realizationreport_id, ppvz_for_pay FROM v_settlement WHERE rrd_id > 5000", "v_settlement"))
     r.add("settlement_cursor", lambda s, d: feeds.cursor_of(lines(s, d)),
           sql("SELECT COALESCE(MAX(rrd_id),0) AS cursor FROM v_settlement", "v_settlement"))
     r.add("settlement_report_counts",

@@ -438,3 +438,42 @@ def storage_bodies(spark: SparkSession, folder: str) -> DataFrame:
             col("p_partkey").alias("nmId"), col("p_brand").alias("brand"), col("p_retailprice").alias("warehousePrice"),
         ))).alias("payload")
     )
+
+
+def changed_income_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies of ``income_bodies`` after a change: the price as text, no date, and for some a field that is new."""
+    key = col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        F.to_json(F.struct(
+            key.alias("incomeId"), col("o_custkey").alias("nmId"), col("o_totalprice").cast("string").alias("totalPrice"),
+            F.when(key % 3 == 0, F.struct((key % 10).alias("rate"))).alias("discount"),
+        )).alias("payload")
+    )
+
+
+def stock_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Stock bodies as they land, every tenth cut off and every tenth with text for a number."""
+    key, name = col("p_partkey"), col("p_name")
+    whole = F.concat(lit('{"supplierArticle":"'), name, lit('","quantity":'))
+    return table(spark, folder, "part").select(
+        F.when(key % 10 == 0, whole).when(key % 10 == 1, F.concat(whole, lit('"x"}')))
+        .otherwise(F.concat(whole, col("p_size").cast("string"), lit("}"))).alias("payload")
+    )
+
+
+def order_versions(spark: SparkSession, folder: str, load: int) -> DataFrame:
+    """Orders as two loads deliver them: first all, then later versions of some and stale versions of others."""
+    rows = orders(spark, folder, "srid", "nmId", "date", "lastChangeDate", "totalPrice", "cancel_dt")
+    if load == 0:
+        return rows
+    later = rows.where("srid % 7 = 0").withColumn("lastChangeDate", F.expr("lastChangeDate + INTERVAL 3 DAYS"))
+    stale = rows.where("srid % 7 <> 0 AND srid % 11 = 0").withColumn("lastChangeDate", F.expr("lastChangeDate - INTERVAL 5 DAYS"))
+    return later.withColumn("cancel_dt", lit("2002-01-01T00:00:00")).unionByName(stale.withColumn("totalPrice", col("totalPrice") - 1))
+
+
+def patchy_ads(spark: SparkSession, folder: str) -> DataFrame:
+    """Campaigns and days with statistics, where some days and some campaigns haven't landed."""
+    day = F.dayofmonth("ts")
+    number = col("user_id") % 20
+    rows = _events(spark, folder).where((number % 6 != 5) & ((number * 7 + day) % 5 != 0))
+    return rows.select(number.alias("advertId"), iso_day("ts").alias("date_day"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sellerlens.functions.dates import Day, day_of, to_day
@@ -130,3 +130,41 @@ def missing_slices(
             F.least(F.date_add(opened, span - 1), lit(last)).alias("date_to"),
         )
     )
+
+
+# --- ranges of days --------------------------------------------------------------------------
+
+def landed_ranges(landed: DataFrame, column: str, start: Day, end: Day, by: Sequence[str] = ("advertId",)) -> DataFrame:
+    """``date_from, date_to, days``: unbroken runs of days for which anything has landed, per campaign.
+
+    Days next to each other make one range, whatever windows they were fetched in. Windows run over a
+    campaign's distinct days, at most as many as the range has.
+    """
+    days = periods.days(landed, column, start, end).select(*by, day_of(column).alias("day")).where("day IS NOT NULL").distinct()
+    own = Window.partitionBy(*by).orderBy("day")
+    opens = F.coalesce(F.datediff("day", F.lag("day").over(own)) > 1, F.lit(False)).cast("int")
+    islands = days.withColumn("opens", opens).withColumn("island", F.sum("opens").over(own))
+    return islands.groupBy(*by, "island").agg(
+        F.min("day").alias("date_from"), F.max("day").alias("date_to"), F.count(F.lit(1)).alias("days")
+    ).drop("island")
+
+
+def missing_ranges(
+    campaigns: DataFrame, landed: DataFrame, column: str, start: Day, end: Day, by: Sequence[str] = ("advertId",), span: int | None = None
+) -> DataFrame:
+    """``date_from, date_to``: the days still to fetch, per campaign, as the longest ranges; each cut into windows of ``span`` days if given.
+
+    A campaign without any landed day has the whole range. Gaps are what lies between one landed range and the next; a mark behind
+    the last day closes every campaign.
+    """
+    first, last = to_day(start), to_day(end)
+    lit = lambda d: F.lit(d.isoformat()).cast("date")
+    mark = campaigns.select(*by).distinct().withColumn("date_from", lit(last + dt.timedelta(days=1))).withColumn("date_to", lit(last))
+    known = landed_ranges(landed, column, start, end, by).drop("days").join(campaigns.select(*by).distinct(), list(by), "left_semi")
+    before = F.lag("date_to").over(Window.partitionBy(*by).orderBy("date_from"))
+    gaps = known.unionByName(mark).select(
+        *by, F.coalesce(F.date_add(before, 1), lit(first)).alias("date_from"), F.date_sub("date_from", 1).alias("date_to")
+    ).where("date_from <= date_to")
+    if span is None:
+        return gaps
+    return gaps.select(*by, F.explode(windows(F.col("date_from"), F.col("date_to"), span)).alias("w")).select(*by, "w.date_from", "w.date_to")

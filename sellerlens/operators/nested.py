@@ -74,24 +74,81 @@ def _or_empty(array: Column, kind: str) -> Column:
 _BID = "struct<nm: bigint, cpm: bigint>"
 
 
+# Working columns of ``_with_bids``.
+_LISTED, _EXTRA = "__listed", "__extra"
+
+
+def _heads(entries: str) -> Column:
+    """Where each run of equal ``nm`` begins in a sorted array."""
+    spots = F.transform(entries, lambda e, i: F.struct(e["nm"].alias("nm"), i.alias("at")))
+    return F.filter(spots, lambda h: (h["at"] == 0) | (F.get(F.col(entries), h["at"] - 1)["nm"] != h["nm"]))
+
+
+def _runs(entries: str, heads: str) -> Column:
+    """Map from ``nm`` to where its run begins (``at``) and how long it is (``n``)."""
+    def run(h: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col(heads), i + 1)["at"], F.size(entries))
+        return F.struct(h["at"].alias("at"), (end - h["at"]).alias("n"))
+
+    return F.map_from_arrays(F.transform(heads, lambda h: h["nm"]), F.transform(heads, run))
+
+
+FEW = 256  # pairs of a product and a bid that are quicker compared than sorted
+
+
+def _with_bids(campaigns: DataFrame) -> DataFrame:
+    """Adds the products of ``autoParams.nms`` with their own bid, and the bids on products not listed, as arrays of ``(nm, cpm)``.
+
+    Products and bids are sorted, bids of one product by their place, so that equal ones are runs and a product's
+    last bid ends its run. Maps of the runs have no double keys, and are zipped by hash: apart from the two
+    sorts all is linear in a campaign's products and bids. Working columns are each used several times, so that Spark computes
+    them once and doesn't write their expressions into the lambdas that use them. Campaigns of up to ``FEW`` pairs search their bids
+    product by product, to the same result. A product listed several times is given as often. Bids without a
+    product are nobody's, and a listed null has no bid.
+    """
+    auto = F.col("autoParams")
+    listed = _or_empty(auto["nms"], "bigint")
+    bids = F.filter(_or_empty(auto["nmCPM"], _BID), lambda b: b["nm"].isNotNull())
+    pair = lambda nm, cpm: F.struct(nm.alias("nm"), cpm.alias("cpm"))
+    many = F.size(listed).cast("bigint") * F.size(_or_empty(auto["nmCPM"], _BID)) > FEW
+    place = lambda b, i: F.struct(b["nm"].alias("nm"), i.alias("i"), b["cpm"].alias("cpm"))
+    work = campaigns.withColumns({
+        "__bids": F.when(many, F.array_sort(F.transform(bids, place))),
+        "__nms": F.when(many, F.transform(F.array_sort(F.array_compact(listed)), lambda nm: F.struct(nm.alias("nm")))),
+    })
+    work = work.withColumns({"__bid_heads": F.when(many, _heads("__bids")), "__nm_heads": F.when(many, _heads("__nms"))})
+    zipped = F.map_zip_with(
+        _runs("__nms", "__nm_heads"), _runs("__bids", "__bid_heads"), lambda nm, mine, run: F.struct(mine.alias("mine"), run.alias("run"))
+    )
+    work = work.withColumn("__met", F.when(many, F.map_entries(zipped)))
+
+    mine, run = (lambda e: e["value"]["mine"]), (lambda e: e["value"]["run"])
+    last = lambda e: F.get(F.col("__bids"), run(e)["at"] + run(e)["n"] - 1)["cpm"]
+    own = F.flatten(F.transform(
+        F.filter("__met", lambda e: mine(e).isNotNull()), lambda e: F.array_repeat(pair(e["key"], last(e)), mine(e)["n"])))
+    unnamed = F.transform(F.filter(listed, lambda nm: nm.isNull()), lambda nm: pair(nm, F.lit(None).cast("bigint")))
+    extra = F.flatten(F.transform(
+        F.filter("__met", lambda e: mine(e).isNull()),
+        lambda e: F.transform(F.slice("__bids", run(e)["at"] + 1, run(e)["n"]), lambda b: pair(b["nm"], b["cpm"]))))
+
+    searched = F.transform(listed, lambda nm: pair(
+        nm, F.try_element_at(F.filter(auto["nmCPM"], lambda b: b["nm"] == nm), F.lit(-1))["cpm"]))
+    unlisted = F.transform(F.filter(bids, lambda b: ~F.coalesce(F.array_contains(listed, b["nm"]), F.lit(False))), lambda b: pair(b["nm"], b["cpm"]))
+    return work.withColumns({
+        _LISTED: F.when(many, F.concat(own, unnamed)).otherwise(searched), _EXTRA: F.when(many, extra).otherwise(unlisted),
+    }).select(*campaigns.columns, _LISTED, _EXTRA)
+
+
 def _auto_items() -> tuple[Column, Column]:
     """Listed products with their own bid if one exists, then bids of products not listed."""
     auto = F.col("autoParams")
-    listed = _or_empty(auto["nms"], "bigint")
-    bids = _or_empty(auto["nmCPM"], _BID)
     shared = {
         "cpm": auto["cpm"],
         "subjectName": auto["subject"]["name"],
         "subjectId": auto["subject"]["id"],
     }
-
-    def own_bid(product: Column) -> Column:
-        # A product bid on twice keeps the later bid.
-        return F.try_element_at(F.filter(bids, lambda b: b["nm"] == product), F.lit(-1))["cpm"]
-
-    with_bid = F.transform(listed, lambda nm: _item(nms=nm, nmCPM=own_bid(nm), **shared))
-    extra = F.filter(bids, lambda b: ~F.array_contains(listed, b["nm"]))
-    return with_bid, F.transform(extra, lambda b: _item(nms=b["nm"], nmCPM=b["cpm"], **shared))
+    item = lambda b: _item(nms=b["nm"], nmCPM=b["cpm"], **shared)
+    return F.transform(_LISTED, item), F.transform(_EXTRA, item)
 
 
 def _united_items() -> Column:
@@ -134,17 +191,14 @@ def campaign_rows(campaigns: DataFrame) -> DataFrame:
     blocks = [*_auto_items(), _united_items(), _auction_items()]
     items = F.concat(*[_or_empty(b, kind) for b in blocks])
     return (
-        campaigns.select(*BASE_FIELDS, F.explode_outer(items).alias("__item"))
+        _with_bids(campaigns).select(*BASE_FIELDS, F.explode_outer(items).alias("__item"))
         .select(*BASE_FIELDS, *[F.col("__item")[f].alias(f) for f in ITEM_FIELDS])
     )
 
 
 def extra_bids(campaigns: DataFrame) -> DataFrame:
     """Bids on products their campaign does not list."""
-    _, extra = _auto_items()
-    return campaigns.select("advertId", F.explode(extra).alias("b")).select(
-        "advertId", F.col("b.nms").alias("nm"), F.col("b.nmCPM").alias("cpm")
-    )
+    return _with_bids(campaigns).select("advertId", F.explode(_EXTRA).alias("b")).select("advertId", "b.nm", "b.cpm")
 
 
 def campaigns_filtered(campaigns: DataFrame, status: int | None = None, type: int | None = None) -> DataFrame:

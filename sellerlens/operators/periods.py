@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sellerlens.functions import dates
 from sellerlens.functions.dates import Day, literal_like, to_day
@@ -23,25 +24,28 @@ Bucket = Callable[[Column], Column]
 
 # --- dated -----------------------------------------------------------------------------------
 
-# Partition column of ``sinks.write_by_day``, the day of the feed's ``date``.
-DAY = "day"
+def day_column(column: str) -> str:
+    """Partition column of ``sinks.write_by_day`` by ``column``; its name tells which column's day it is."""
+    return f"{column}_day"
 
 
-def _by_day(df: DataFrame, column: str) -> bool:
-    return column == "date" and DAY in df.columns
+def _by_day(df: DataFrame, column: str) -> str | None:
+    """The partition column that bounds on ``column`` may use too, if the table has it."""
+    day = day_column(column)
+    return day if day in df.columns and df.schema[day].dataType == T.DateType() else None
 
 
 def since(df: DataFrame, column: str, start: Day) -> DataFrame:
     """``column >= start``; on a table partitioned by day, only from the first such day."""
-    if _by_day(df, column):
-        df = df.where(F.col(DAY) >= F.lit(to_day(start)))
+    if day := _by_day(df, column):
+        df = df.where(F.col(day) >= F.lit(to_day(start)))
     return df.where(F.col(column) >= literal_like(df, column, start))
 
 
 def between(df: DataFrame, column: str, start: Day, end: Day) -> DataFrame:
     """Half-open: ``start <= column < end``."""
-    if _by_day(df, column):
-        df = df.where((F.col(DAY) >= F.lit(to_day(start))) & (F.col(DAY) <= F.lit(to_day(end))))
+    if day := _by_day(df, column):
+        df = df.where((F.col(day) >= F.lit(to_day(start))) & (F.col(day) <= F.lit(to_day(end))))
     return df.where(
         (F.col(column) >= literal_like(df, column, start))
         & (F.col(column) < literal_like(df, column, end))
@@ -86,7 +90,7 @@ def newest_bucket(df: DataFrame, column: str, bucket: Bucket, skip: int = 0, by:
     whose plain comparison is the part the scan can use. Sorting by both columns keeps the two
     subqueries the same up to their last projection, so the aggregate runs once.
     """
-    seen = DAY if _by_day(df, column) else column  # with day partitions their values are enough
+    seen = _by_day(df, column) or column  # with day partitions their values are enough
     keyed = df.select(*by, F.col(seen).alias("d"), bucket(F.col(seen)).alias("b")).where("b IS NOT NULL")
     if by:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("b")))
@@ -121,7 +125,7 @@ def separate_maxima(df: DataFrame, column: str, part: Bucket, shift: int = 0, by
     year enters as its first date, which the scan can use; one aggregate serves both scalars.
     With ``by`` every group has its own newest year and highest number.
     """
-    seen = DAY if _by_day(df, column) else column
+    seen = _by_day(df, column) or column
     keyed = df.select(
         *by, F.col(seen).alias("d"), F.year(dates.ts(seen)).alias("y"), part(F.col(seen)).alias("n")
     ).where("y IS NOT NULL")

@@ -40,3 +40,49 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
+
+
+# --- heavy hitters ---------------------------------------------------------------------------
+
+TRACKED = 10_000  # values a frequency sketch follows at most
+
+
+def _map_size(tracked: int) -> int:
+    """Entries of the sketch's map: a power of two with a quarter to spare."""
+    size = 1
+    while size * 0.75 < tracked:
+        size *= 2
+    return size
+
+
+def sketched(df: DataFrame, key: str, k: int, tracked: int = TRACKED) -> tuple[list, float]:
+    """Keys that may be among the ``k`` most frequent, and a count that no other key exceeds.
+
+    A frequency sketch of ``tracked`` values is merged over all tasks; what it misses of any key is at most 3.5 / size
+    of all rows. A key that isn't proposed has fewer rows than the last proposed one may have, or too few to be reported.
+    """
+    wanted = min(4 * k, tracked)
+    found = df.where(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k(`{key}`, {wanted}, {tracked})").alias("top"), F.count(F.lit(1)).alias("rows")
+    ).first()
+    missed = 3.5 / _map_size(tracked) * found["rows"]
+    keys = [(r["item"], r["count"]) for r in found["top"] or []]
+    least = keys[-1][1] + missed if len(keys) == wanted else 0.0
+    return [v for v, _ in keys], max(least, 2 * missed)
+
+
+def most_frequent(df: DataFrame, key: str, k: int = SHOWN, tracked: int = TRACKED) -> DataFrame:
+    """``key, n``: the ``k`` keys with most rows, the smaller key first on a tie. Exact.
+
+    A sketch proposes keys, and only their rows are counted; nothing is shuffled but those counts. If the
+    ``k``-th count is above what any other key can have, these are the ones. Otherwise (counts too even, or
+    fewer keys than ``k``) all keys are counted.
+    """
+    keys, bound = sketched(df, key, k, tracked)
+    if keys:
+        counted = df.where(F.col(key).isin(keys)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        best = top(counted, "n", key, k).collect()
+        if len(best) == k and best[-1]["n"] > bound:
+            return df.sparkSession.createDataFrame(best, counted.schema)
+    every = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return top(every, "n", key, k)

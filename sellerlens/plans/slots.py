@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens.functions import text
 from sellerlens.sources.feeds import in_or_all
 
-# Columns the alert does not show.
-HIDDEN = (
-    "warehouseID", "allowUnload", "boxTypeName", "boxTypeID", "storageCoef",
-    "deliveryAdditionalLiter", "storageBaseLiter", "storageAdditionalLiter", "isSortingCenter",
-)
+# Columns of an alert, those of its message line.
+SHOWN = ("date", "coefficient", "warehouseName", "deliveryCoef", "deliveryBaseLiter")
 
 
-def matching(slots: DataFrame, warehouse_ids=None, box_types=None, max_coefficient: int = 1000) -> DataFrame:
+def condition(warehouse_ids=None, box_types=None, max_coefficient: int = 1000) -> Column:
     """Open slots (coefficient 0 and up) within the limits; an empty list is no limit."""
-    conditions = [
-        in_or_all(F.col("warehouseID"), warehouse_ids),
-        in_or_all(F.col("boxTypeID"), box_types),
-        F.col("coefficient").between(0, max_coefficient),
-    ]
-    for condition in conditions:
-        if condition is not None:
-            slots = slots.where(condition)
-    return slots
+    limits = [in_or_all(F.col("warehouseID"), warehouse_ids), in_or_all(F.col("boxTypeID"), box_types)]
+    return reduce(lambda a, b: a & b, [c for c in limits if c is not None], F.col("coefficient").between(0, max_coefficient))
 
 
 def shown_date(slots: DataFrame) -> DataFrame:
@@ -37,9 +29,12 @@ def shown_date(slots: DataFrame) -> DataFrame:
     return slots.withColumn("date", F.date_format(day, "dd-MM-yyyy"))
 
 
+def shown(found: DataFrame) -> DataFrame:
+    return shown_date(found).select(*SHOWN)
+
+
 def slot_search(slots: DataFrame, warehouse_ids=None, box_types=None, max_coefficient: int = 1000) -> DataFrame:
-    found = matching(slots, warehouse_ids, box_types, max_coefficient)
-    return shown_date(found).drop(*HIDDEN)
+    return shown(slots.where(condition(warehouse_ids, box_types, max_coefficient)))
 
 
 def slot_lines(found: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sellerlens.functions.dates import literal_like
+from sellerlens.operators import periods
+from sellerlens.sources import storage
 from sellerlens.sources.schemas import FEEDS
 
 
@@ -76,12 +77,17 @@ def stream_feed(
     format: str = "json",
     files_per_trigger: int | None = None,
     schema: T.StructType | None = None,
+    stamped: str | None = None,
 ) -> DataFrame:
-    """The same feed as a stream of newly landed files."""
+    """The same feed as a stream of newly landed files.
+
+    ``stamped`` names a column for the time a row's file landed, the event time of feeds that have none.
+    """
     reader = spark.readStream.schema(feed_schema(feed, schema)).format(format)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    stream = reader.load(path)
+    return stream.select("*", F.col("_metadata.file_modification_time").alias(stamped)) if stamped else stream
 
 
 def decode(raw: DataFrame, feed: str, column: str = "payload", schema: T.StructType | None = None) -> DataFrame:
@@ -135,25 +141,28 @@ def all_strings(df: DataFrame) -> DataFrame:
 
 
 def changed_since(df: DataFrame, since: str, column: str = "lastChangeDate") -> DataFrame:
-    """Incremental slice: rows changed at or after ``since``."""
-    return df.where(F.col(column) >= literal_like(df, column, since))
+    """Incremental slice: rows changed at or after ``since``.
+
+    On a table written by ``sinks.write_by_day`` by that column only the days from then on are read.
+    """
+    return periods.since(df, column, since)
 
 
 def changed_on(df: DataFrame, day: str, column: str = "lastChangeDate") -> DataFrame:
-    """Rows changed on one calendar day, as a range on the stored column so files can be skipped."""
-    import datetime as dt
+    """Rows changed on one calendar day, as a range on the stored column so files and day partitions can be skipped."""
+    return periods.days(df, column, day, day)
 
-    start = dt.date.fromisoformat(day)
-    end = start + dt.timedelta(days=1)
-    return df.where(
-        (F.col(column) >= literal_like(df, column, start))
-        & (F.col(column) < literal_like(df, column, end))
-    )
 
+def after_cursor(lines: DataFrame, cursor: int, key: str = "rrd_id", sequence: str | None = None) -> DataFrame:
+    """Paged lines past a cursor, each line once even where two landed pages overlap.
 
-def after_cursor(lines: DataFrame, cursor: int, key: str = "rrd_id") -> DataFrame:
-    """Paged lines past a cursor, each line once even where two landed pages overlap."""
-    return lines.where(F.col(key) > F.lit(cursor)).dropDuplicates([key])
+    Of several versions the one with the highest ``sequence`` (when its page landed) stays; without one, and on a tie, the
+    largest row, so that a repeated load gives the same rows.
+    """
+    wanted = lines.where(F.col(key) > F.lit(cursor))
+    if sequence is None:
+        return storage.latest(wanted.withColumn("__none", F.lit(0)), [key], "__none").drop("__none")
+    return storage.latest(wanted, [key], sequence)
 
 
 def cursor_of(lines: DataFrame, key: str = "rrd_id") -> DataFrame:

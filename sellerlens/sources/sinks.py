@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sellerlens.operators import grouping
+from sellerlens.functions.dates import day_of
+from sellerlens.operators import grouping, periods
 from sellerlens.plans import settlement
+from sellerlens.sources import storage
 
 
 def write_report(report: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -43,23 +45,37 @@ def write_split(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_by_day(facts: DataFrame, path: str, column: str = "date", mode: str = "overwrite") -> None:
-    """Landed facts partitioned by day, so that dated periods read only their days."""
-    from sellerlens.functions.dates import day_of
+    """Landed facts partitioned by the day of ``column``, so that periods on that column read only their days.
 
+    The partition column is called ``<column>_day``. Periods on another column of the table don't take it for theirs.
+    """
+    day = periods.day_column(column)
     (
-        facts.withColumn("day", day_of(column))
-        .hint("rebalance", "day")
+        facts.withColumn(day, day_of(column))
+        .hint("rebalance", day)
         .write.mode(mode)
-        .partitionBy("day")
+        .partitionBy(day)
         .parquet(path)
     )
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
-    """Latest entry per user. ``path`` must not be the table being read."""
+    """Latest entry per user. ``path`` must not be the table being read; ``upsert_registry`` adds to one."""
     grouping.last_per_key(registry, "user_id", "seq", ["user_api"]).write.mode("overwrite").parquet(path)
 
 
+REGISTRY_PARTS = 64
+
+
+def upsert_registry(entries: DataFrame, path: str, staged: str) -> None:
+    """New entries into the registry at ``path`` in place: the last one per user stays, other users' are left alone.
+
+    ``staged`` is a folder of this call's own, see ``storage.merge``.
+    """
+    part = F.pmod(F.xxhash64("user_id"), F.lit(REGISTRY_PARTS)).cast("int")
+    storage.merge(entries.select("user_id", "user_api", "seq", part.alias("part")), path, staged, ["user_id"], "seq", "part")
+
+
 def write_json_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
     """One nested column as JSON text, one value per line."""
     df.select(F.to_json(F.col(column)).alias("value")).write.mode(mode).text(path)

@@ -66,10 +66,10 @@ def test_day_partitions_are_pruned(spark, tmp_path, land):
     out = str(tmp_path / "facts")
     sinks.write_by_day(orders, out)
     back = spark.read.parquet(out)
-    one = periods.days(back, "day", "2025-01-03", "2025-01-03")
+    one = periods.days(back, "date", "2025-01-03", "2025-01-03")
     assert one.count() == 10
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan
+    assert "PartitionFilters: [isnotnull(date_day" in plan
 
 
 def test_other_sinks(spark, tmp_path, land):
@@ -118,5 +118,5 @@ def test_reports_prune_day_partitions(spark, tmp_path):
     for feed, name, mode in cases:
         pruned = periods.select_period(stored, name, as_of="2025-03-22", feed=feed, mode=mode)
         whole = periods.select_period(facts, name, as_of="2025-03-22", feed=feed, mode=mode)
-        assert "PartitionFilters: [isnotnull(day" in plan(pruned) or "PartitionFilters: [(day" in plan(pruned), (feed, name, mode)
+        assert "PartitionFilters: [isnotnull(date_day" in plan(pruned) or "PartitionFilters: [(date_day" in plan(pruned), (feed, name, mode)
         assert sorted(r["v"] for r in pruned.collect()) == sorted(r["v"] for r in whole.collect()), (feed, name, mode)

@@ -50,7 +50,7 @@ def test_seller_is_never_the_only_join_key(spark, orders, tmp_path):
     plan = report._jdf.queryExecution().executedPlan().toString()
     semi = [line for line in plan.splitlines() if "LeftSemi" in line and "Join" in line]
     assert semi and all("__b" in line for line in semi)
-    assert "PartitionFilters: [isnotnull(day" in plan
+    assert "PartitionFilters: [isnotnull(date_day" in plan
 
 
 def test_top_stock_and_totals_per_seller(spark, orders):
