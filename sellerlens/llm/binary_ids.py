@@ -51,7 +51,7 @@ def write_ids(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """Write ``docs`` in the file format; the written ``ids`` and ``ranks`` tables.
 
     A null text counts as empty, a null id sorts first, rows that repeat an id follow in order of
-    their text, and no rows give empty tables. Other columns are not looked at.
+    their encoded ids, and no rows give empty tables. Other columns are not looked at.
     """
     by_batches(docs.sparkSession)
     path = vocabulary or tokens.vocabulary_path()
@@ -79,29 +79,22 @@ def write_ids(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     place = _as_array(ranks, "id", "rank")
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Packed rows with the number of their partition and the ids before each within it."""
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             packed = [pack(place[np.frombuffer(b, np.uint32)]) for b in batch["ids"]]
+            ends = before + batch["n"].cumsum()
             yield pd.DataFrame({
-                "doc_id": batch["id"].astype("Int64"), "n_tokens": batch["n"],
+                "part": part, "start": ends - batch["n"], "doc_id": batch["id"].astype("Int64"), "n_tokens": batch["n"],
                 "control": [c for c, _ in packed], "data": [d for _, d in packed],
             })
+            before = int(ends.iloc[-1]) if len(batch) else before
 
+    # Ids are put in order before they are packed: ranges are sampled from the stored table, and packing runs once.
     parts = parts_for(total(raw, F.col("n")), TOKENS_EACH)
-    ordered = (
-        raw.mapInPandas(ranked, "doc_id long, n_tokens long, control binary, data binary")
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "data")
-    )
-    return stored(ordered.mapInPandas(_placed, f"part int, start long, {ordered.schema.simpleString()[7:-1].replace(':', ' ')}"), "ids"), ranks
-
-
-def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The number of the partition, and the ids before each document within it."""
-    before, part = 0, TaskContext.get().partitionId()
-    for batch in batches:
-        ends = before + batch["n_tokens"].cumsum()
-        out = batch.assign(doc_id=batch["doc_id"].astype("Int64"), part=part, start=ends - batch["n_tokens"])
-        before = int(ends.iloc[-1]) if len(batch) else before
-        yield out[["part", "start", *batch.columns]]
+    ordered = raw.repartitionByRange(parts, F.col("id"), F.substring("ids", 1, 32)).sortWithinPartitions("id", "ids")
+    kinds = "part int, start long, doc_id long, n_tokens long, control binary, data binary"
+    return stored(ordered.mapInPandas(ranked, kinds), "ids"), ranks
 
 
 def read_ids(ids: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -160,13 +160,12 @@ class Templates:
         return top if top and top[0] >= self.dice else None
 
     def lines(self, text: str | None) -> Iterator[tuple[int, str, float]]:
-        longest = 12 * max(self.reach, default=0) + 200  # characters of a segment in reach, amply
         for k, line in enumerate((text or "").split("\n")):
-            segments = [line] if len(line) <= longest else []
+            segments = [line]
             if "." in line or "!" in line or "?" in line:
                 sentences = _SENTENCE.split(line)
                 segments += sentences if len(sentences) > 1 else []
-            found = [b for s in segments if len(s) <= longest and (b := self.best(s))]
+            found = [b for s in segments if (b := self.best(s))]
             if found:
                 dice, name = max(found, key=lambda s: (s[0], [-ord(c) for c in s[1]]))
                 yield k, name, dice

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from sellerlens.llm.shared import stored
 
 RATIO = 0.1     # share of a host's pages beyond which a line is boilerplate
-PAGES = 10      # on fewer pages a line is never boilerplate, however small the host
+PAGES = 3       # on fewer pages a line is chance and never boilerplate, however small the host
+WHITE = " \t\x0b\x0c\r"  # white space at a line's ends that doesn't tell lines apart
 
 
 def _lines(text: Column) -> Column:
@@ -23,7 +24,7 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """128 bits for a line; null for an empty one."""
-    line = F.trim(line)
+    line = F.btrim(line, F.lit(WHITE))
     return F.when(line != "", F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit("line"), line).alias("y")))
 
 
@@ -33,7 +34,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     A host's pages together hold at most (their mean number of lines) / ``ratio`` such lines, so that
     the arrays stay short however many pages there are.
     """
-    rows = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(_lines(F.col(text)), _key)).alias("keys"))
+    rows = docs.select(F.col(f"`{host}`").alias("host"), F.array_distinct(F.transform(_lines(F.col(f"`{text}`")), _key)).alias("keys"))
     lines = rows.select("host", F.explode("keys").alias("key")).where("key is not null")
     counts = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
     totals = rows.groupBy("host").agg(F.count("*").alias("total"))
@@ -50,7 +51,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text
     """
     found = stored(boilerplate(docs, host, text, ratio, pages), "boilerplate")
     found = found.select(F.struct("host", "keys").alias("site"))
-    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = row.join(found, F.col(f"row.`{host}`").eqNullSafe(F.col("site.host")), "left")
     old = F.col(f"row.`{text}`")
     kept = F.filter(_lines(old), lambda line: ~F.coalesce(F.array_contains(F.col("site.keys"), _key(line)), F.lit(False)))

@@ -6,11 +6,11 @@ the weights' entropy reaches the target; if a source would then be repeated more
 times within the budget, it is bisected to the smallest value at which none is.
 
 The weights are realised as block permutations. A source is dealt into blocks of about ``BLOCK`` rows
-by a hash of the row's id. In every epoch the blocks follow one another in an order drawn for that
+by a hash of the row's id and text. In every epoch the blocks follow one another in an order drawn for that
 epoch, and the rows within a block in one as well; a source takes whole epochs and then rows from the
 next one until its share of the budget is filled (the row that reaches the share is the last one
-taken). Rows are added up within blocks, blocks within runs and runs within sources, so that no window
-takes all rows, nor all blocks, of a source.
+taken). Rows are shuffled to their block once and multiplied by epochs there. They are added up within blocks, blocks
+within runs and runs within sources, so that no window takes all rows, nor all blocks, of a source.
 """
 
 from __future__ import annotations
@@ -100,29 +100,30 @@ def _half(b: Column, upper: Column) -> Column:
 
 
 def _sums_before(blocks: DataFrame) -> DataFrame:
-    """``source, b, begin``: the sizes of a source's blocks that come before this one in its order.
+    """``source, epoch, b, begin``: the sizes of a source's blocks that come before this one in the epoch's order.
 
     Blocks that begin with the same ``RUN_DIGITS`` digits of the drawn order follow one another, so
-    that they form a run. Runs are added up first, and only runs (16 ** ``RUN_DIGITS`` a source at
-    most) share a window with all others of their source; the blocks of a run share one with each other.
+    that they form a run. Runs are added up first, and only runs (16 ** ``RUN_DIGITS`` a source and epoch at
+    most) share a window with all others of their epoch; the blocks of a run share one with each other.
     """
     blocks = stored(blocks.withColumn("run", F.substring("order", 1, RUN_DIGITS)), "block-sizes")
     until = Window.unboundedPreceding, Window.currentRow
-    runs = blocks.groupBy("source", "run").agg(F.sum("size").alias("size"))
-    of_source = Window.partitionBy("source").orderBy("run").rowsBetween(*until)
-    bases = runs.select(F.struct("source", "run", (F.sum("size").over(of_source) - F.col("size")).alias("base")).alias("of"))
-    of_run = Window.partitionBy("source", "run").orderBy("order", "b").rowsBetween(*until)
+    runs = blocks.groupBy("source", "epoch", "run").agg(F.sum("size").alias("size"))
+    of_epoch = Window.partitionBy("source", "epoch").orderBy("run").rowsBetween(*until)
+    bases = runs.select(F.struct("source", "epoch", "run", (F.sum("size").over(of_epoch) - F.col("size")).alias("base")).alias("of"))
+    of_run = Window.partitionBy("source", "epoch", "run").orderBy("order", "b").rowsBetween(*until)
     inside = blocks.withColumn("inside", F.sum("size").over(of_run) - F.col("size"))
-    both = inside.join(bases, inside["source"].eqNullSafe(F.col("of.source")) & (inside["run"] == F.col("of.run")))
-    return both.select("source", "b", (F.col("of.base") + F.col("inside")).alias("begin"))
+    same = (inside["epoch"] == F.col("of.epoch")) & (inside["run"] == F.col("of.run"))
+    both = inside.join(bases, inside["source"].eqNullSafe(F.col("of.source")) & same)
+    return both.select("source", "epoch", "b", (F.col("of.base") + F.col("inside")).alias("begin"))
 
 
 def mixture(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", gap: float = GAP, repeats: float = REPEATS, budget: float = BUDGET) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_tokens, epoch, block, before``: a row for each time a row is taken.
 
-    ``before`` counts the tokens of the source's epoch before the row. A null source is a source of its
-    own, a null id is drawn like any other, rows that repeat an id share their place and follow in
-    order of tokens and text, rows of sources with share 0 aren't taken, rows without tokens are taken
+    ``before`` counts the tokens of the source before the row in the order of this epoch. A null source is a source of its
+    own, a null id is drawn like any other, rows that repeat an id are dealt by their text and follow in
+    order of tokens and text where they meet in a block, rows of sources with share 0 aren't taken, rows without tokens are taken
     with their epoch, and no rows give no rows.
     """
     plan = weights(docs, source, text, gap, repeats, budget).select(
@@ -132,33 +133,37 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
             F.when(F.col("n_tokens") > 0, F.col("share") % F.col("n_tokens")).otherwise(F.lit(0)).alias("rest"),
         ).alias("plan")
     )
-    plan = stored(plan, "mixture")
-    row = docs.select(F.struct(*docs.columns).alias("row"))
+    plan = stored(plan.where("plan.whole > 0 OR plan.rest > 0"), "mixture")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ident, words = F.col(f"row.`{id_column}`"), F.col(f"row.`{text}`")
     dealt = row.join(plan, F.col(f"row.`{source}`").eqNullSafe(F.col("plan.source"))).select(
-        "row", "plan", token_count(F.col(f"row.`{text}`")).alias("n_tokens"),
-        F.pmod(_number(_draw(F.lit("block"), F.col(f"row.`{id_column}`"))), F.col("plan.blocks")).alias("block"),
-    ).where((F.col("plan.whole") > 0) | (F.col("plan.rest") > 0))
-
-    # Where each block stands in the last, partial epoch of its source.
-    blocks = dealt.select("plan", "block", "n_tokens").groupBy(F.col("plan.source").alias("source"), F.col("block").alias("b")).agg(
-        F.sum("n_tokens").alias("size"), F.min("plan.whole").alias("epoch")
+        "row", "plan", F.col("plan.source").alias("source"), token_count(words).alias("n_tokens"),
+        F.pmod(_number(_draw(F.lit("block"), ident, F.md5(words))), F.col("plan.blocks")).alias("block"),
     )
+    # Whole epochs and, if tokens are left for it, the one that is taken in part.
+    last = F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1)
+
+    def in_epochs(df: DataFrame) -> DataFrame:
+        return df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+
+    sizes = dealt.groupBy("source", F.col("block").alias("b"), F.col("plan.whole").alias("whole"), F.col("plan.rest").alias("rest"))
+    blocks = in_epochs(sizes.agg(F.sum("n_tokens").alias("size")))
     order = _draw(F.lit("order"), F.col("source"), F.col("epoch"), F.col("b"))
-    begins = _sums_before(blocks.select("source", "b", "size", order.alias("order")))
-    begins = begins.select(F.struct("source", "b", "begin").alias("at"))
+    begins = _sums_before(blocks.select("source", "epoch", "b", "size", order.alias("order")))
+    begins = stored(begins.select(F.struct("source", "epoch", "b", "begin").alias("at")), "blocks")
 
-    place = _draw(F.lit("row"), F.col("plan.whole"), F.col(f"row.`{id_column}`"))
+    # One shuffle brings a block together; windows by block and epoch need no other.
+    gathered = dealt.select("*", F.col("plan.whole").alias("whole"), F.col("plan.rest").alias("rest")).drop("plan").repartition("source", "block")
+    drawn = _draw(F.lit("row"), F.col("epoch"), ident)
     in_block = (
-        Window.partitionBy("plan.source", "block").orderBy(place, "n_tokens", F.col(f"row.`{text}`"))
+        Window.partitionBy("source", "block", "epoch").orderBy(drawn, "n_tokens", words)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = dealt.withColumn("before", F.sum("n_tokens").over(in_block) - F.col("n_tokens"))
-    begins = stored(begins, "blocks")
-    placed = ranked.join(begins, F.col("plan.source").eqNullSafe(F.col("at.source")) & (F.col("block") == F.col("at.b")))
-    before = F.col("before") + F.col("at.begin")
-    times = F.col("plan.whole") + F.when(before < F.col("plan.rest"), 1).otherwise(0)
-    taken = placed.select("row", "n_tokens", "block", before.alias("before"), times.alias("times")).where("times > 0")
-    return taken.select("row", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"), "block", "before")
+    ranked = in_epochs(gathered).withColumn("inside", F.sum("n_tokens").over(in_block) - F.col("n_tokens"))
+    here = F.col("source").eqNullSafe(F.col("at.source")) & (F.col("epoch") == F.col("at.epoch")) & (F.col("block") == F.col("at.b"))
+    placed = ranked.join(begins, here).withColumn("before", F.col("inside") + F.col("at.begin"))
+    taken = placed.where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
+    return taken.select("row", "n_tokens", "epoch", "block", "before")
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

@@ -89,13 +89,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_TRIMMED = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS k
   FROM documents WHERE text IS NOT NULL
 ), counted AS (
-  SELECT source, trim(line) AS t, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line) <> '' GROUP BY ALL
+  SELECT source, {_TRIMMED} AS t, count(DISTINCT doc_id) AS n FROM lines WHERE {_TRIMMED} <> '' GROUP BY ALL
 ), totals AS (
   SELECT source, count(*) AS total FROM documents GROUP BY ALL
 ), bad AS (
@@ -103,7 +105,7 @@ WITH lines AS (
   WHERE c.n >= {line_dedup.PAGES} AND c.n > s.total * {line_dedup.RATIO}
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text
-  FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.t
+  FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND {_TRIMMED} = b.t
   WHERE b.t IS NULL GROUP BY l.doc_id
 ), renewed AS (
   SELECT d.doc_id, d.source, d.text AS old, d.n_chars,
@@ -155,23 +157,24 @@ WITH RECURSIVE t AS (
   FROM shares
 ), dealt AS (
   SELECT t.*, whole, rest,
-         ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', 'block', coalesce(doc_id::VARCHAR, '-'))), 1, 12))::BIGINT % blocks AS block
+         ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', 'block', coalesce(doc_id::VARCHAR, '-'), coalesce(md5(text), '-'))), 1, 12))::BIGINT % blocks AS block
   FROM t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source WHERE whole > 0 OR rest > 0
+), epochs AS (
+  SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END))::BIGINT AS epoch FROM dealt
 ), sized AS (
-  SELECT source, block, whole, sum(tokens)::BIGINT AS size FROM dealt GROUP BY ALL
+  SELECT source, epoch, block, sum(tokens)::BIGINT AS size FROM epochs GROUP BY ALL
 ), begins AS (
-  SELECT source, block, (sum(size) OVER (PARTITION BY source ORDER BY
-           md5(concat_ws('|', '{mixing.SEED}', 'order', coalesce(source, '-'), whole::VARCHAR, block::VARCHAR)), block) - size)::BIGINT AS begin
+  SELECT source, epoch, block, (sum(size) OVER (PARTITION BY source, epoch ORDER BY
+           md5(concat_ws('|', '{mixing.SEED}', 'order', coalesce(source, '-'), epoch::VARCHAR, block::VARCHAR)), block) - size)::BIGINT AS begin
   FROM sized
 ), placed AS (
-  SELECT d.*, (b.begin + sum(tokens) OVER (PARTITION BY d.source, d.block ORDER BY
-           md5(concat_ws('|', '{mixing.SEED}', 'row', whole::VARCHAR, coalesce(doc_id::VARCHAR, '-'))), tokens, text
+  SELECT d.*, (b.begin + sum(tokens) OVER (PARTITION BY d.source, d.epoch, d.block ORDER BY
+           md5(concat_ws('|', '{mixing.SEED}', 'row', d.epoch::VARCHAR, coalesce(doc_id::VARCHAR, '-'))), tokens, text
            ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS before
-  FROM dealt d JOIN begins b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
+  FROM epochs d JOIN begins b ON d.source IS NOT DISTINCT FROM b.source AND d.epoch = b.epoch AND d.block = b.block
 )
-SELECT doc_id, source, tokens AS n_tokens,
-       unnest(range(0, whole + CASE WHEN before < rest THEN 1 ELSE 0 END))::BIGINT AS epoch, block, before
-FROM placed
+SELECT doc_id, source, tokens AS n_tokens, epoch, block, before
+FROM placed WHERE epoch < whole OR before < rest
 """
 
 

@@ -40,12 +40,20 @@ def ship_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+BATCH_BYTES = 64 << 20
+
+
 def by_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most ``rows`` rows at a time to Python, so that long texts fit in a worker's memory."""
+    """Hand at most ``rows`` rows and about ``BATCH_BYTES`` at a time to Python, so that long texts fit in a worker's memory.
+
+    Both are settings of the session, lowered where they are higher and left so: Spark reads them when the returned
+    table is computed, not when it is made.
+    """
     ship_code(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def parts_for(amount: float, each: float, least: int = 1) -> int:
@@ -58,16 +66,21 @@ def total(df: DataFrame, expression) -> float:
     return df.agg(F.coalesce(F.sum(expression), F.lit(0)).alias("s")).first()["s"]
 
 
+FIRST = 32
+
+
 def in_id_order(docs: DataFrame, id_column: str, text_column: str, chars_each: int = 16_000_000) -> DataFrame:
     """``id, text`` in ascending id over partitions of about ``chars_each`` characters, sorted inside.
 
-    Null ids come first, null texts become empty, and rows that repeat an id follow in order of text.
+    Null ids come first, null texts become empty, and rows that repeat an id follow in order of text. Partitions
+    are cut by id and the first ``FIRST`` characters of the text, so that rows of one id, null among them, share a partition
+    only if they begin alike.
     """
     narrow = docs.select(
         F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     )
     parts = parts_for(total(narrow, F.length("text")), chars_each)
-    return narrow.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    return narrow.repartitionByRange(parts, F.col("id"), F.substring("text", 1, FIRST)).sortWithinPartitions("id", "text")
 
 
 def before_each_part(sizes: DataFrame, part: str = "part", size: str = "size") -> DataFrame:

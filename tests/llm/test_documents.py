@@ -165,6 +165,30 @@ def test_line_dedup(spark):
     assert line_dedup.without_boilerplate(table.where("false")).count() == 0
 
 
+def test_boilerplate_of_small_hosts_and_white_space(spark):
+    rows = [(k, f"own {k}\nfooter", "nine") for k in range(9)]
+    rows += [(100 + k, f"menu{chr(13) if k % 2 else ''}\nown {k}\n{chr(9)}about {chr(11)}", "white") for k in range(16)]
+    rows += [(200, "twice", "two"), (201, "twice", "two"), (300, "same", "rep"), (300, "same", "rep"), (300, "same", "rep"), (400, "x" * 3_000_000 + "\nfooter", "nine")]
+    table = docs(spark, rows).withColumn("a.b", F.lit(1))
+    out = line_dedup.without_boilerplate(table, size="n_chars")
+    assert out.columns == table.columns
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert [got[k] for k in range(9)] == [[f"own {k}"] for k in range(9)] and got[400] == ["x" * 3_000_000]
+    assert [got[100 + k] for k in range(16)] == [[f"own {k}"] for k in range(16)]
+    assert got[200] == ["twice"] and got[300] == ["", "", ""]  # repeated rows are pages each
+
+
+def test_notices_in_long_lines(spark):
+    found = lambda t: [(r["line_no"], r["licence"]) for r in licences.scan(docs(spark, [(1, t, "s"), (1, t, "s")])).collect()]
+    want = found("Released under the MIT License.")
+    assert len(want) == 2 and want[0] == want[1]
+    for more in ("-" * 3000, " " * 3000, "*" * 800, " " + "=" * 2000):
+        assert found("Released under the MIT License." + more) == want
+        assert found(more + "Released under the MIT License.") == want
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(k, words(rng, 50), "big") for k in range(900)] + [(k, words(rng, 50), "small") for k in range(900, 930)]
@@ -189,15 +213,47 @@ def test_mixing(spark):
 
 def test_sums_before_blocks(spark):
     rng = random.Random(1)
-    rows = [(rng.choice([None, "a", "b"]), b, rng.randrange(9), "%032x" % (rng.randrange(4000) if b % 2 else rng.getrandbits(128))) for b in range(3000)]
-    got = {(r[0], r[1]): r[2] for r in mixing._sums_before(spark.createDataFrame(rows, "source string, b long, size long, order string")).collect()}
+    rows = [(rng.choice([None, "a", "b"]), b % 3, b, rng.randrange(9), "%032x" % (rng.randrange(4000) if b % 2 else rng.getrandbits(128))) for b in range(3000)]
+    got = {tuple(r[:3]): r[3] for r in mixing._sums_before(spark.createDataFrame(rows, "source string, epoch long, b long, size long, order string")).collect()}
     before, want = Counter(), {}
-    for source, b, size, _ in sorted(rows, key=lambda r: (r[3], r[1])):
-        want[source, b] = before[source]
-        before[source] += size
+    for source, epoch, b, size, _ in sorted(rows, key=lambda r: (r[4], r[2])):
+        want[source, epoch, b] = before[source, epoch]
+        before[source, epoch] += size
     assert got == want
 
 
+def test_every_epoch_has_its_own_order(spark):
+    rng = random.Random(7)
+    rows = [(k, words(rng, 30), "big") for k in range(700)] + [(k, words(rng, 30), "small") for k in range(700, 760)]
+    taken = mixing.mixture(docs(spark, rows).withColumn("a.b", F.lit(1)))
+    order = {}
+    for r in taken.select("row.doc_id", "row.source", "epoch", "before", "n_tokens").collect():
+        order.setdefault((r["source"], r["epoch"]), []).append((r["before"], r["n_tokens"], r["doc_id"]))
+    whole = [sorted(v) for (s, _), v in sorted(order.items()) if s == "small" and len(v) == 60]
+    assert len(whole) >= 2
+    for epoch in whole:  # gapless: every row begins where the one before it ends
+        assert [b for b, _, _ in epoch] == [sum(n for _, n, _ in epoch[:k]) for k in range(60)]
+    assert len({tuple(i for _, _, i in epoch) for epoch in whole}) == len(whole)
+    places = {}
+    for epoch in whole:
+        for b, _, i in epoch:
+            places.setdefault(i, set()).add(b)
+    assert sum(len(p) > 1 for p in places.values()) > 50
+
+
+def test_null_ids_are_dealt_over_blocks_and_parts(spark):
+    rng = random.Random(8)
+    table = docs(spark, [(None, words(rng, 20), "s") for _ in range(900)])
+    assert mixing.mixture(table).select("block").distinct().count() > 2
+    from sellerlens.llm import shared
+
+    ordered = shared.in_id_order(table, "doc_id", "text", chars_each=10_000)
+    sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 300
+    texts = [r["text"] for r in ordered.collect()]
+    assert texts == sorted(texts)
+
+
 @pytest.mark.parametrize("key", list(queries.oracle_sql()))
 def test_sql(spark, key):
     con = connect(SF)

@@ -23,9 +23,9 @@ def by_id(table):
 def without_lines(rows):
     """Texts without the lines that more than a share of their source's documents hold."""
     totals = Counter(r["source"] for r in rows.values())
-    holders = Counter((r["source"], line) for r in rows.values() for line in {x.strip(" ") for x in (r["text"] or "").split("\n")} if line)
+    holders = Counter((r["source"], line) for r in rows.values() for line in {x.strip(line_dedup.WHITE) for x in (r["text"] or "").split("\n")} if line)
     gone = {k for k, n in holders.items() if n >= line_dedup.PAGES and n > totals[k[0]] * line_dedup.RATIO}
-    kept = lambda r: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in gone)
+    kept = lambda r: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(line_dedup.WHITE)) not in gone)
     return {i: None if r["text"] is None else kept(r) for i, r in rows.items()}
 
 
