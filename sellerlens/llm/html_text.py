@@ -3,7 +3,8 @@
 Block-level tags cut a page into blocks of text. A block is described by its number of words and the
 share of them inside links, by the same of the blocks before and after it, by whether it is a heading,
 and by whether the elements around it are an article or are marked as something else (navigation,
-footer, advert, form, comments, ...). The tree is grown on ``EXAMPLES``, a table of blocks labelled by
+footer, advert, comments, ...). Elements that may as well wrap a page, such as a form or one named top, mark
+their blocks only if they hold no more than half of the page's words. The tree is grown on ``EXAMPLES``, a table of blocks labelled by
 hand, each time a worker starts; that takes milliseconds.
 """
 
@@ -43,6 +44,24 @@ EXAMPLES = np.array([
     [2, 0.00, 4, 1.00, 3, 0.00, 0, 1, 0, 1], [3, 0.00, 1, 1.00, 1, 0.00, 1, 1, 0, 1],
     # lists and tables of an article
     [11, 0.00, 30, 0.00, 10, 0.00, 0, 1, 0, 1], [5, 0.20, 11, 0.00, 7, 0.00, 0, 1, 0, 1], [2, 0.00, 2, 0.00, 3, 0.00, 0, 1, 0, 1],
+    # running text without an article element around it: its neighbours are text, short lines or nothing
+    [45, 0.00, 0, 0.00, 3, 0.00, 0, 0, 0, 1], [45, 0.00, 3, 0.00, 0, 0.00, 0, 0, 0, 1], [45, 0.00, 5, 0.00, 40, 0.00, 0, 0, 0, 1],
+    [40, 0.00, 45, 0.00, 2, 1.00, 0, 0, 0, 1], [40, 0.00, 45, 0.00, 1, 1.00, 0, 0, 0, 1], [38, 0.00, 41, 0.00, 12, 1.00, 0, 0, 0, 1],
+    [30, 0.00, 2, 1.00, 28, 0.00, 0, 0, 0, 1], [60, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1], [35, 0.00, 50, 0.00, 0, 0.00, 0, 0, 0, 1],
+    [16, 0.00, 45, 0.00, 40, 0.00, 0, 0, 0, 1], [15, 0.00, 30, 0.00, 2, 1.00, 0, 0, 0, 1], [26, 0.08, 4, 1.00, 3, 1.00, 0, 0, 0, 1],
+    [19, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 1], [21, 0.00, 6, 0.00, 2, 1.00, 0, 0, 0, 1], [33, 0.15, 36, 0.00, 3, 0.00, 0, 0, 0, 1],
+    [14, 0.00, 22, 0.00, 18, 0.00, 0, 0, 0, 1], [13, 0.00, 16, 0.00, 24, 0.00, 0, 0, 0, 1], [17, 0.20, 24, 0.00, 20, 0.00, 0, 0, 0, 1],
+    # short blocks: text between text, loose lines at its edges
+    [3, 0.00, 45, 0.00, 45, 0.00, 0, 0, 0, 1], [1, 0.00, 20, 0.00, 31, 0.00, 0, 0, 0, 1], [2, 0.00, 55, 0.00, 28, 0.00, 0, 0, 0, 1],
+    [7, 0.00, 24, 0.00, 19, 0.00, 0, 0, 0, 1], [10, 0.00, 33, 0.00, 26, 0.00, 0, 0, 0, 1], [5, 0.20, 42, 0.00, 37, 0.00, 0, 0, 0, 1],
+    [4, 0.00, 2, 1.00, 45, 0.00, 0, 0, 0, 0], [5, 0.00, 45, 0.00, 3, 1.00, 0, 0, 0, 0], [3, 0.00, 1, 1.00, 38, 0.00, 0, 0, 0, 0],
+    [6, 0.00, 52, 0.00, 1, 1.00, 0, 0, 0, 0], [10, 0.00, 2, 1.00, 4, 1.00, 0, 0, 0, 0], [11, 0.00, 4, 1.00, 3, 0.50, 0, 0, 0, 0],
+    [2, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0], [7, 0.00, 6, 0.00, 2, 1.00, 0, 0, 0, 0], [3, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0, 0],
+    [2, 1.00, 45, 0.00, 45, 0.00, 0, 0, 0, 0], [4, 1.00, 30, 0.00, 26, 0.00, 0, 0, 0, 0], [9, 1.00, 44, 0.00, 35, 0.00, 0, 0, 0, 0],
+    # headings over text, and over lists of links
+    [5, 0.00, 0, 0.00, 45, 0.00, 1, 0, 0, 1], [8, 0.00, 0, 0.00, 60, 0.00, 1, 0, 0, 1], [4, 0.00, 3, 1.00, 40, 0.00, 1, 0, 0, 1],
+    [5, 0.00, 40, 0.00, 38, 0.00, 1, 0, 0, 1], [2, 0.00, 45, 0.00, 33, 0.00, 1, 0, 0, 1], [3, 0.00, 36, 0.00, 16, 0.00, 1, 0, 0, 1],
+    [2, 0.00, 40, 0.00, 2, 1.00, 1, 0, 0, 0], [3, 0.00, 45, 0.00, 1, 1.00, 1, 0, 0, 0], [2, 0.00, 2, 1.00, 1, 1.00, 1, 0, 0, 0],
     # lists of links
     [1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0], [2, 1.00, 3, 1.00, 1, 1.00, 0, 0, 0, 0], [5, 1.00, 4, 1.00, 6, 1.00, 0, 0, 0, 0],
     [8, 1.00, 7, 1.00, 30, 0.00, 0, 0, 0, 0], [3, 0.67, 2, 1.00, 4, 1.00, 0, 0, 0, 0], [12, 0.90, 10, 1.00, 11, 0.80, 0, 0, 0, 0],
@@ -61,29 +80,37 @@ EXAMPLES = np.array([
 
 _WORDS = "|".join("""ads? advert\\w* sponsor\\w* promo\\w* banner\\w* sidebar\\w* widget\\w* menu\\w* nav\\w* breadcrumb\\w* masthead cookies? consent gdpr
     notices? alerts? popup modal overlay newsletter subscri\\w* signup login share\\w* social related recommend\\w* trending comments? replies reply
-    respond disqus forms? search pagination pager copyright legal disclaimer toolbar skip hidden tagcloud meta byline""".split())
+    respond disqus search pagination pager copyright legal disclaimer toolbar skip hidden tagcloud meta byline""".split())
 _MARK = re.compile(rf"(?:^|[^a-z])(?:{_WORDS})(?![a-z])")
+# Names and elements that may as well wrap a whole page.
 _EDGE = re.compile(r"(?:^|[^a-z])(?:header|footer|top|bottom)(?![a-z])")
-_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+_FORM = re.compile(r"(?:^|[^a-z])forms?(?![a-z])")
+_WRAPS = 0.5   # share of a page's words beyond which such an element is a wrapper and no mark
+_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu"}
 _BODY = re.compile(r"(?:^|[^a-z])(?:article|content|story|post|entry)[-_]?(?:body|text|content|main)?(?![a-z])")
 _NESTED = set("div section article main nav header footer aside form ul ol table tbody tr td th blockquote figure dl details center span p li".split())
 _BREAK = set("""p div section article main nav header footer aside form ul ol li table thead tbody tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre
     figure figcaption dl dt dd hr body html fieldset legend address details summary center option title label""".split())
-_MARKED = {"nav", "aside", "form", "footer", "header", "menu", "dialog", "fieldset"}
+_MARKED = {"nav", "aside", "footer", "header", "menu", "dialog"}
+_FORMS = {"form", "fieldset"}
 _SILENT = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|video|audio|title"
+# A quote only holds a ">" where an attribute's value begins; elsewhere it is a stray one.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
-    """``marked``, ``article`` or nothing, for an element."""
+    """``marked``, ``weak`` (marked unless it wraps the page), ``article`` or nothing, for an element."""
     if tag in ("article", "main"):
         return "article"
     if tag in _MARKED:
         return "" if in_article and tag in ("header", "footer") else "marked"
+    if tag in _FORMS:
+        return "weak"
     if not attributes.strip() or tag in ("body", "html"):
         return ""
     names = []
@@ -93,21 +120,30 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
             return "marked"
         if key == "role" and text.lower() in _ROLE:
             return "marked"
+        if key == "role" and text.lower() == "form":
+            return "weak"
         if key in ("class", "id"):
             names.append(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", text).lower())
     joined = " ".join(names)
-    if _MARK.search(joined) or not in_article and _EDGE.search(joined):
+    if _MARK.search(joined):
         return "marked"
+    if _FORM.search(joined) or not in_article and _EDGE.search(joined):
+        return "weak"
     return "article" if tag in ("div", "section", "td") and _BODY.search(joined) else ""
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
-    """A page's blocks in order, and their features."""
+    """A page's blocks in order, and their features.
+
+    Whether a weak mark counts is known when the page has been read: an element that holds most of its words is a wrapper.
+    """
     texts: list[str] = []
     rows: list[list[float]] = []
+    under: list[tuple[int, ...]] = []      # weakly marked elements around each block
     stack: list[tuple[str, str]] = []
     parts: list[tuple[str, bool]] = []
-    links = heading = marked = inside = 0
+    weak: list[int] = []
+    links = heading = marked = inside = seen = 0
 
     def close() -> None:
         nonlocal parts
@@ -117,8 +153,17 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             n = text.count(" ") + 1
             texts.append(text)
             rows.append([n, min(1.0, linked / n), 0, 0, 0, 0, heading, inside > 0, marked > 0])
+            under.append(tuple(weak))
         parts = []
 
+    def leave() -> str:
+        nonlocal marked, inside
+        name, kind = stack.pop()
+        marked, inside = marked - (kind == "marked"), inside - (kind == "article")
+        if kind == "weak":
+            weak.pop()
+        return name
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -137,29 +182,38 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             heading = 0 if m[2] else 1
         if tag in _BREAK and tag != "a":
             links = links if tag in ("li", "span", "div", "p") else 0
-        if tag in _NESTED or tag in _MARKED:
+        if tag in _NESTED or tag in _MARKED or tag in _FORMS:
             if not m[2]:
                 if not m[4].rstrip().endswith("/"):
                     if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                        gone = stack.pop()[1]
-                        marked, inside = marked - (gone == "marked"), inside - (gone == "article")
+                        leave()
                     kind = _kind(tag, m[4], inside > 0)
-                    if kind == "marked" and tag == "span":
+                    if kind in ("marked", "weak") and tag == "span":
                         close()
                     stack.append((tag, kind))
                     marked, inside = marked + (kind == "marked"), inside + (kind == "article")
+                    if kind == "weak":
+                        weak.append(seen)
+                        seen += 1
             elif any(t == tag for t, _ in stack):
-                if tag == "span" and stack[-1] == ("span", "marked"):
+                if tag == "span" and stack[-1][0] == "span" and stack[-1][1] in ("marked", "weak"):
                     close()
-                while True:
-                    name, kind = stack.pop()
-                    marked, inside = marked - (kind == "marked"), inside - (kind == "article")
-                    if name == tag:
-                        break
+                while leave() != tag:
+                    pass
     if at < len(page):
         parts.append((page[at:], links > 0))
     close()
     x = np.array(rows, dtype=float).reshape(-1, len(FEATURES))
+    if seen:
+        words = x[:, 0] * (1 - x[:, 1])
+        held = np.zeros(seen)
+        for n, around in zip(words, under, strict=True):
+            for w in around:
+                held[w] += n
+        small = held <= _WRAPS * words.sum()
+        for k, around in enumerate(under):
+            if any(small[w] for w in around):
+                x[k, 8] = 1
     if len(x):
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
     return texts, x

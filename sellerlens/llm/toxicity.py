@@ -1,9 +1,10 @@
 """Toxicity of whole texts by a weighted finite-state grammar over clauses.
 
 A text is cut into clauses, and a clause's words become symbols: insult ``I``, threat ``K``, target
-``T``, negation ``N``, reported speech ``R``, other ``o``. Three deterministic transducers read them,
-composed into one machine: the first rewrites insults and threats shortly after a negation, the second
-those in reported speech, the third gives weights, higher once the clause has named a target. So a
+``T``, negation ``N``, reported speech ``R``, mention ``M`` (talk about words), other ``o``. Five deterministic transducers read
+them, composed into one machine: one rewrites insults shortly after a mention, one insults and threats shortly after a
+negation, one those in reported speech, one threats whose target follows, and the last gives weights, higher once the
+clause has named a target, and none to what is only mentioned, or both denied and reported. So a
 score is a clause's and not a word's. A document's score is the logistic of its worst clause and of
 the sum over its clauses.
 
@@ -39,6 +40,7 @@ INSULTS = "idiot moron loser scum pathetic worthless stupid trash disgusting imb
 THREATS = "kill murder strangle destroy töten umbringen tuer matar".split()
 TARGETS = "you your yourself u he she they them him her du dich dir ihr tu toi vous te tú usted ustedes ellos sie".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie pas jamais nunca".split()
+MENTIONS = "word words term noun adjective verb spelling wort begriff mot terme palabra término".split()
 REPORTS = "said says say told wrote writes claimed quoted sagte schrieb écrit dijo escribió".split()
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -79,22 +81,42 @@ def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
     return Transducer(start, moves)
 
 
+NEAR = 3  # words that a negation, a mention and a threat reach
+SYMBOLS = "IKTNRMo"
+
+# Weights of insults and threats (small letters: denied; m: mentioned; r behind: in reported speech),
+# before and after the clause has named a target. A threat that names its target afterwards counts as one that was aimed.
+BARE = {"I": 1.0, "i": 0.1, "Ir": 0.6, "ir": 0.0, "K": 0.2, "k": 0.0, "Kr": 0.1, "kr": 0.0}
+AIMED = {"I": 1.5, "i": 0.2, "Ir": 0.8, "ir": 0.0, "K": 1.1, "k": 0.1, "Kr": 0.3, "kr": 0.0}
+
+
+def _shortly_after(sign: str, changed: dict[str, str], others: str) -> Transducer:
+    """Rewrites the first of ``changed`` within ``NEAR`` words after ``sign``."""
+    moves = {(0, sign): (NEAR, sign, 0.0)}
+    for left in range(1, NEAR + 1):
+        moves |= {(left, s): (left - 1, s, 0.0) for s in others}
+        moves |= {(left, s): (0, new, 0.0) for s, new in changed.items()} | {(left, sign): (NEAR, sign, 0.0)}
+    return Transducer(0, moves)
+
+
 def grammar() -> Transducer:
-    """Negation, reported speech and weights as one machine."""
-    near = 3  # words that a negation reaches
-    negation = {(0, "N"): (near, "N", 0.0)}
-    for left in range(1, near + 1):
-        negation |= {(left, s): (left - 1, s, 0.0) for s in "oTR"}
-        negation |= {(left, "I"): (0, "i", 0.0), (left, "K"): (0, "k", 0.0), (left, "N"): (near, "N", 0.0)}
-    reported = {("told", s): ("told", s + "r", 0.0) for s in "IiKk"} | {("plain", "R"): ("told", "R", 0.0)}
-    # An insult or threat, bare and after a target; reduced when negated or reported.
-    bare = {"I": 1.0, "i": 0.6, "Ir": 0.8, "ir": 0.5, "K": 0.2, "k": 0.05, "Kr": 0.1, "kr": 0.05}
-    aimed = {"I": 1.5, "i": 0.7, "Ir": 1.0, "ir": 0.6, "K": 1.0, "k": 0.2, "Kr": 0.4, "kr": 0.1}
-    weights = {("bare", s): ("bare", s, w) for s, w in bare.items()} | {("aimed", s): ("aimed", s, w) for s, w in aimed.items()}
+    """Mention, negation, reported speech, threats and weights as one machine."""
+    mention = _shortly_after("M", {"I": "m"}, "oTRNK")
+    negation = _shortly_after("N", {"I": "i", "K": "k"}, "oTRMm")
+    reported = Transducer("plain", {("told", s): ("told", s + "r", 0.0) for s in "IiKk"} | {("plain", "R"): ("told", "R", 0.0)})
+    weights = {("bare", s): ("bare", s, w) for s, w in BARE.items()} | {("aimed", s): ("aimed", s, w) for s, w in AIMED.items()}
     weights |= {("bare", "T"): ("aimed", "T", 0.0)}
-    symbols = "IKTNRo"
-    rewriting = compose(Transducer(0, negation), Transducer("plain", reported), symbols)
-    return compose(rewriting, Transducer("bare", weights), symbols)
+    for threat in ("K", "Kr"):  # a threat that waits for its target
+        weights[("bare", threat)] = ((threat, NEAR), threat, BARE[threat])
+        for left in range(1, NEAR + 1):
+            on = (threat, left - 1) if left > 1 else "bare"
+            weights |= {((threat, left), s): (on, s, BARE.get(s, 0.0)) for s in [*BARE, "o", "N", "R", "M", "m"] if s not in ("K", "Kr")}
+            weights |= {((threat, left), s): ((s, NEAR), s, BARE[s]) for s in ("K", "Kr")}
+            weights[((threat, left), "T")] = ("aimed", "T", AIMED[threat] - BARE[threat])
+    machine = compose(mention, negation, SYMBOLS)
+    for part in (reported, Transducer("bare", weights)):
+        machine = compose(machine, part, SYMBOLS)
+    return machine
 
 
 class Scorer:
@@ -104,7 +126,7 @@ class Scorer:
         whole = {s for s in stems if not s.endswith("*")} | set(INSULTS)
         begins = {s[:-1] for s in stems if s.endswith("*")}
         self.machine = grammar()
-        self.symbol = {w: s for s, words in (("o", []), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("K", THREATS), ("I", whole)) for w in words}
+        self.symbol = {w: s for s, words in (("o", []), ("M", MENTIONS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("K", THREATS), ("I", whole)) for w in words}
         self.begins = tuple(sorted(begins))
         parts = [re.escape(w) + r"(?!\w)" for w in sorted(whole | set(THREATS))] + [re.escape(b) for b in self.begins]
         self.hit = re.compile(r"(?<!\w)(?:" + "|".join(parts) + ")")
