@@ -80,6 +80,7 @@ class Pieces:
         self.words_apart = not any(pair[0] != BORDER and pair[1] == BORDER for pair in self.beside)
         self.lines_apart = not any("\n" in pair for pair in self.beside)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.whole = {p: array("i", [i]).tobytes() for p, i in self.id.items() if len(p) == 1}
 
         self.shown = [p.piece.replace(BORDER, " ") for p in model.pieces]
@@ -150,20 +151,28 @@ class Pieces:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word, cut where no piece joins two neighbours; short words and parts are remembered."""
-        if word in self.known:
-            return self.known[word]
+        ids = self._known(word)
+        if ids is not None:
+            return ids
         beside = self.beside
         cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in beside]
         if not cuts:
             return self._remember(word, self._ids(word))
         parts = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-        ids = b"".join([self.known[p] if p in self.known else self._remember(p, self._ids(p)) for p in parts])
+        ids = b"".join([self._known(p) or self._remember(p, self._ids(p)) for p in parts])
         return self._remember(word, ids)
 
+    def _known(self, word: str) -> bytes | None:
+        ids = self.known.get(word)
+        if ids is None and (ids := self.older.get(word)) is not None:
+            self._remember(word, ids)
+        return ids
+
     def _remember(self, word: str, ids: bytes) -> bytes:
+        """Words of the last two generations are known; one that is met again passes on to the new one."""
         if len(word) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if 2 * len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
             self.known[word] = ids
         return ids
 
@@ -198,7 +207,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of any ids: control ids say nothing, a first word border isn't shown, and bytes that aren't UTF-8 become U+FFFD."""
-        ids = np.asarray(ids).tolist()
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
         while ids and ids[-1] in self.silent:
             ids.pop()
         while ids and ids[0] in self.silent:
@@ -268,10 +277,11 @@ def _round_trip(path: str, end: bool, check: bool):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             ids = [model.encode(t, end) for t in texts]
-            decoded = [model.decode(i) for i in ids]
+            lists = [i.tolist() for i in ids]
+            decoded = [model.decode(i) for i in lists]
             agrees = [
-                i.tolist() == (theirs := model.library_ids(t, end)) and d == model.library.decode(theirs)
-                for t, i, d in zip(texts, ids, decoded, strict=True)
+                i == (theirs := model.library_ids(t, end)) and d == model.library.decode(theirs)
+                for t, i, d in zip(texts, lists, decoded, strict=True)
             ] if check else [None] * len(ids)
             offsets = np.cumsum([0, *[len(i) for i in ids]]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
