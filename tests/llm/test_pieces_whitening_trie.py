@@ -33,6 +33,28 @@ def test_agenda_equals_library(pieces):
         assert pieces.decode(ids) == pieces.library.decode(ids)
 
 
+def test_texts_together_equal_the_library(pieces, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "TOGETHER", 500)
+    rng = random.Random(8)
+    words = ["the", "Straße", "\nnew", "ing", "", "▁", "你好", "ﬀ", "é🙂", "x" * 47, "y" * 48, "z" * 70, "un" * 40, "a\tb", "\x00", "<s>"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", "a", "  ", "\n"]
+    rng.shuffle(texts)
+    for end in (True, False):
+        ids = pieces.encode_all(texts, end)
+        assert [i.tolist() for i in ids] == [pieces.library.encode(t or "", add_eos=end) for t in texts]
+        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        assert pieces.decode_all(np.concatenate(ids), offsets).to_pylist() == [pieces.library.decode(i.tolist()) for i in ids]
+    assert pieces.encode_all([]) == [] and pieces.decode_all(np.zeros(0, np.int32), np.zeros(2, np.int32)).to_pylist() == [""]
+
+
+def test_any_ids_decode_together(pieces):
+    rng = random.Random(9)
+    rows = [[rng.choice([rng.randrange(32000), rng.randrange(3, 259), rng.randrange(3), 28705, 259]) for _ in range(rng.randint(0, 9))] for _ in range(5000)]
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    texts = pieces.decode_all(np.array([i for r in rows for i in r], np.int32), offsets).to_pylist()
+    assert texts == [pieces.library.decode(r) for r in rows]
+
+
 def test_any_ids_decode_as_the_library_does(pieces):
     rng = random.Random(5)
     for _ in range(5000):
