@@ -302,4 +302,4 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = near_duplicates(docs, id_column, text_column, percent)
     fate = labelled.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept"))
     gone = stored(fate.where(~F.col("kept")).select("_gone"), "gone")
-    return docs.join(gone, docs[id_column].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_column].cast("long") == gone["_gone"], "left_anti")

@@ -362,3 +362,15 @@ def test_minhash_lists_classes_with_rare_tails_under_common_values(spark):
     keys = minhash._keys(spark.createDataFrame(rows, "node long, sketch array<long>"), 85).where("v >= 1000")
     assert keys.select("node").distinct().count() == 60
     assert minhash.rare_keys(85) > 16 and minhash.common_keys(85) == 8
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    texts = ["The Word  the word", "It's 12 o'clock!", "Grüße, Straße\n\tx", "", "a<|endoftext|>b"]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = tokens.vocabulary_path(name)
+        encoder, library = tokens.WordEncoder(path), Tokenizer.from_file(path)
+        assert encoder.by_words is by_words
+        for t in texts:
+            assert encoder.encode(t).tolist() == [*library.encode(t, add_special_tokens=False).ids, tokens.END]

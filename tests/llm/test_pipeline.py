@@ -102,3 +102,47 @@ def test_near_copies_of_the_stage_equal_brute_force(spark):
                 root = {i: low if r == high else r for i, r in root.items()}
     kept = corpus_pipeline.without_copies(spark, docs, SF).collect()
     assert sorted(r["doc_id"] for r in kept) == [i for i in ids if root[i] == i]
+
+
+ODD = ["row", "plan", "both", "site", "new", "at", "epoch", "block", "before", "inside", "whole", "rest", "_gone", "id", "n", "keys", "host", "class", "a.b", "part"]
+
+
+def odd_table(spark, rows):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    return spark.createDataFrame([(*r, *ODD) for r in rows], kinds)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, empty and long texts, repeated rows, and columns that the stages use themselves."""
+    menu, words = "Home News Contact", [f"w{n}" for n in range(40_000)]
+    rows = [
+        (1, f"{menu}\nfirst page says this", "en", "a", 30), (2, f"second one says that\n{menu}", "en", "a", 30), (3, menu, None, "a", None),
+        (4, "", "en", "a", 0), (5, None, "en", "a", None), (None, "a row without an id", "en", None, 1), (None, None, None, None, None),
+        (6, " ".join(words), "en", "b", 1), (7, " ".join(words), "en", "b", 1), (8, "same text twice in one id", "en", "b", 1),
+        (8, "same text twice in one id", "en", "b", 1), (8, "another text of that id", "en", "b", 1),
+    ]
+    docs, kept = odd_table(spark, rows), {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = kept[name] = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or docs.columns == columns
+    assert kept["toxicity"].count() == len(rows)
+    texts = lambda name: Counter((r["doc_id"], r["text"]) for r in kept[name].select("doc_id", "text").collect())
+    want = Counter((i, t if t is None else "\n".join(x for x in t.split("\n") if x != menu)) for i, t, *_ in rows)
+    assert texts("line_dedup") == want
+    want[(7, " ".join(words))] = 0
+    assert texts("minhash_near_dedup") == +want
+    assert all(r[c] == c for r in kept["minhash_near_dedup"].collect() for c in ODD)
+    assert set(texts("source_mixing")) <= set(texts("minhash_near_dedup")) and texts("source_mixing")[(6, " ".join(words))] >= 1
+    pieces = kept["packing"].collect()
+    assert sum(p["start"] == 0 for p in pieces) == kept["source_mixing"].count()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+
+
+def test_stages_on_no_rows(spark, tmp_path):
+    docs = odd_table(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(docs.schema if name != "packing" else stage(spark, docs, SF).schema).parquet(str(tmp_path / name))
+        assert docs.count() == 0
