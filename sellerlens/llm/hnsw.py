@@ -1,33 +1,49 @@
 """Nearest neighbours with a navigable small-world graph per shard.
 
-Vectors are dealt into shards of about ``SHARD`` by a hash; equal vectors are one node that carries
-their smallest ids. A shard's graph has layers, each with about one in ``FANOUT`` of the nodes below. In
-a layer, a node's links are chosen among its nearest nodes of the layer and its nearest ones of the
+Vectors lie in lists by their nearest coarse centroid, and a list is dealt by a hash into shards of about ``SHARD_BYTES``;
+equal vectors are one node that carries their smallest ids. A shard's graph has layers, each with about one in ``FANOUT`` of
+the nodes below. In a layer, a node's links are chosen among its nearest nodes of the layer and its nearest ones of the
 layer above: nearest first, leaving out those that are nearer to a chosen one, then filled up; links go
 both ways, and the nearest stay where there are too many. The graphs are written as flat neighbour
-arrays, one row per shard. Queries visit every shard: they descend with a narrow beam and end with a
+arrays, one row per shard. In a shard, queries descend with a narrow beam and end with a
 beam of ``BEAM`` nodes in the lowest layer, all queries of a block at once. Results of the shards are
 merged per query.
+
+A query visits the shards of its own list first. The distance of the last neighbour found there bounds how far a nearer one can
+lie, and the query visits those other lists whose border is nearer than that neighbour probably is off along one line:
+``DEVIATIONS`` times that distance, divided by the root of the effective dimension of the residuals. Vectors with
+clusters, or of few effective dimensions, leave few lists to visit; among directions without any structure most lists stay in
+reach, whatever their number. A query that finds too few neighbours in its list visits all.
+
+Centroids are fitted for each length of vector on ``SAMPLE`` distinct vectors at most, the first by a hash, and are ``LISTS``
+at most; all vectors are indexed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerlens.llm.shared import by_batches, parts_for, stored
-from sellerlens.llm.vectors import matrix, squared, usable
+from sellerlens.llm.shared import by_batches, parts_for, stored, total
+from sellerlens.llm.vectors import k_means, matrix, nearest, squared, usable
 
 NEIGHBOURS = 10
-SHARD = 4096
+SHARD_BYTES = 8 << 20   # components and links of a shard
+LEAST = 64              # nodes in a shard, whatever their bytes
+SAMPLE = 20_000
+LISTS = 1024            # most lists of a length of vector
+DEVIATIONS = 2          # how far beyond the border a nearer neighbour is looked for
+PARTITIONS = 20_000     # most partitions in which shards are built; a partition may hold several
 FANOUT = 16
 NEAREST = 32       # candidates from the layer, for links
 ABOVE = 8          # candidates from the layer above
 LINKS = 16         # links that a node chooses
 MOST_LINKS = 32    # links that a node has with those from others
-BEAM = 96
+BEAM = 128
 NARROW = 8
 QUERIES = 1024     # queries in a block
 
@@ -152,7 +168,75 @@ def search(x: np.ndarray, layers: list, queries: np.ndarray, width: int = BEAM)
     return beam_search(x, *layers[-1], queries, start, width)
 
 
-GRAPH = "shard int, d int, vectors binary, owners binary, ids binary, layers array<int>, nodes binary, links binary"
+def nodes_in_shard(d: int) -> int:
+    return max(LEAST, SHARD_BYTES // (8 * d + 4 * MOST_LINKS + 24))
+
+
+@dataclass(frozen=True)
+class Router:
+    """Centroids of one length of vector, and how differences spread around them."""
+
+    centre: np.ndarray
+    between: np.ndarray     # distances between centroids
+    dimension: float        # effective dimension of the residuals
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return nearest(x, self.centre)[0]
+
+    def others(self, x: np.ndarray, own: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """Lists but the own one whose border is in reach; where distances overflow, or the reach is infinite, all."""
+        far = squared(x, self.centre)
+        border = (far - far[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.between[own], 1e-300)
+        seen = ~(border > (reach * min(1.0, DEVIATIONS / self.dimension**0.5))[:, None])
+        seen[np.arange(len(x)), own] = False
+        return [np.flatnonzero(s) for s in seen]
+
+
+def fit(sample: np.ndarray, n: int) -> Router:
+    """Lists for ``n`` vectors from a sample of them."""
+    sample = sample[(np.abs(sample) < 1e100).all(axis=1)]
+    if not len(sample):
+        return Router(np.zeros((1, sample.shape[1])), np.zeros((1, 1)), 1.0)
+    centre = k_means(sample, min(parts_for(n, nodes_in_shard(sample.shape[1])), LISTS, len(sample)))
+    residual = sample - centre[nearest(sample, centre)[0]]
+    residual = residual / max(np.abs(residual).max(), 1e-300)
+    spread = residual.T @ residual
+    dimension = max(1.0, float(np.trace(spread) ** 2 / max((spread * spread).sum(), 1e-300)))
+    return Router(centre, np.sqrt(squared(centre, centre)), dimension)
+
+
+def _by_length(rows: pd.DataFrame):
+    for d, some in rows.groupby("d", sort=True):
+        yield some, int(d), matrix(some["v"])
+
+
+def _placed(routers: dict[int, Router]):
+    """Rows with their list. A length that no vector of the table has is in none."""
+
+    def run(batches):
+        for batch in batches:
+            for some, d, x in _by_length(batch):
+                if d in routers:
+                    yield some.assign(list=routers[d].own(x))
+
+    return run
+
+
+def _elsewhere(routers: dict[int, Router]):
+    """A row for each other list that a query has to visit."""
+
+    def run(batches):
+        for batch in batches:
+            for some, d, x in _by_length(batch):
+                lists = routers[d].others(x, some["list"].to_numpy(), some["reach"].to_numpy(dtype=float))
+                times = [len(s) for s in lists]
+                again = some.drop(columns="reach").iloc[np.repeat(np.arange(len(some)), times)]
+                yield again.assign(list=np.concatenate(lists))
+
+    return run
+
+
+GRAPH = "list int, shard int, d int, vectors binary, owners binary, ids binary, layers array<int>, nodes binary, links binary"
 
 
 def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +255,7 @@ def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
         "nodes": np.concatenate([n for n, _ in layers]).astype("<i4"), "links": np.concatenate([k for _, k in layers]).astype("<i4"),
     }
     return pd.DataFrame({
-        "shard": [rows["shard"].iloc[0]], "d": [rows["d"].iloc[0]], "layers": [[len(n) for n, _ in layers]],
+        **{name: [rows[name].iloc[0]] for name in ("list", "shard", "d")}, "layers": [[len(n) for n, _ in layers]],
         **{name: [values.tobytes()] for name, values in flat.items()},
     })
 
@@ -193,23 +277,41 @@ def _answers(k: int):
             x, spans, ids, layers = _graph(row)
             q = matrix(queries["v"])
             # A query's own node and k others, with k + 1 ids each at most, hold k ids but its own.
-            for name, v, nodes in zip(queries["id"], q, search(x, layers, q, max(BEAM, k + 1)), strict=True):
+            for query, name, v, nodes in zip(queries["query"], queries["id"], q, search(x, layers, q, max(BEAM, k + 1)), strict=True):
                 nodes = nodes[nodes >= 0]
                 far = np.sqrt(((x[nodes] - v) ** 2).sum(1))
                 near = sorted((d, i) for d, n in zip(far, nodes, strict=True) for i in ids[spans[n] : spans[n + 1]] if i != name)
-                out += [(name, i, d) for d, i in near[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(query, name, i, d) for d, i in near[:k]]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _found(index: DataFrame, sizes: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """``query, query_id, vec_id, score``: the nearest in each shard of the lists that queries visit.
+
+    A shard that many queries visit goes to as many tasks as they have blocks, one that none visits to none.
+    """
+    asked = visits.groupBy("d", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    plan = stored(sizes.join(asked, ["d", "list"]), "visited")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = visits.join(plan, ["d", "list"]).withColumn("block", F.pmod(F.xxhash64("query", F.lit("block")), F.col("blocks")).cast("int"))
+    queries = queries.withColumn("shard", upto("shards")).drop("blocks", "shards")
+    graphs = index.join(plan, ["d", "list"]).withColumn("block", upto("blocks")).drop("blocks", "shards")
+    keys = ["d", "list", "shard", "block"]
+    return graphs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
+        _answers(k), "query long, query_id long, vec_id long, score double"
+    )
+
+
 def neighbours(table: DataFrame, queries: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of ``table`` found nearest to each query.
 
     Scores are Euclidean distances in double precision, ties go to the smaller id, and a row with the
     query's id is never its answer. Rows of either table that are null, all zero or hold null or
-    non-finite components, or have no id, take no part; vectors of different lengths aren't compared.
-    Repeated rows of an id count once, a query that is repeated with other components is answered by
+    non-finite components, or have no id, take no part; vectors of different lengths aren't compared, and every length has
+    centroids of its own, which the driver fits one after the other.
+    A row so far off that its squared distance overflows is no answer. Repeated rows of an id count once, a query that is repeated with other components is answered by
     its nearest rows to any. Empty tables give no rows. Other columns are not looked at.
     """
     by_batches(table.sparkSession, 1000)
@@ -218,18 +320,32 @@ def neighbours(table: DataFrame, queries: DataFrame, id_column: str = "vec_id",
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= k + 1)
     nodes = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("least"), F.min_by("v", "id").alias("v"))
     nodes = stored(nodes.withColumn("d", F.size("v")), "nodes")
-    shards = parts_for(nodes.count(), SHARD)
-    dealt = nodes.select("ids", "least", "v", "d", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    index = stored(dealt.groupBy("shard", "d").applyInPandas(_indexed, GRAPH), "graphs")
-
-    asked = usable(queries, id_column, vector_column).dropDuplicates(["id", "key"]).select("id", "v", F.size("v").alias("d"))
-    asked = stored(asked, "queries")
-    blocks = parts_for(asked.count(), QUERIES)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["shard", "d", "block"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_answers(k), "query_id long, vec_id long, score double")
+    routers = {}
+    for d, n in sorted((r["d"], r["count"]) for r in nodes.groupBy("d").count().collect()):
+        sample = nodes.where(F.col("d") == d).orderBy(F.xxhash64("key"), "least").limit(SAMPLE)
+        routers[d] = fit(matrix(sample.select("v").toPandas()["v"]), n)
+
+    hashed = nodes.select("ids", "least", "v", "d", F.xxhash64("key", F.lit("shard")).alias("deal"))
+    placed = stored(hashed.mapInPandas(_placed(routers), "ids array<long>, least long, v array<double>, d int, deal long, list int"), "placed")
+    each = F.greatest(F.lit(LEAST), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("d") + 4 * MOST_LINKS + 24)))
+    sizes = stored(placed.groupBy("d", "list").agg(F.ceil(F.count("*") / F.first(each)).cast("int").alias("shards")), "sizes")
+    parts = int(max(1, min(total(sizes, "shards"), PARTITIONS)))
+    dealt = placed.join(sizes, ["d", "list"]).withColumn("shard", F.pmod("deal", "shards").cast("int")).drop("deal", "shards")
+    keys = ["d", "list", "shard"]
+    index = stored(dealt.repartition(parts, *keys).groupBy(*keys).applyInPandas(_indexed, GRAPH), "graphs")
+
+    asked = usable(queries, id_column, vector_column).dropDuplicates(["id", "key"])
+    asked = asked.select(F.monotonically_increasing_id().alias("query"), "id", "v", F.size("v").alias("d"))
+    visit = "query long, id long, v array<double>, d int, list int"
+    # Numbers of queries are fixed once the table is written.
+    asked = stored(stored(asked, "queries").mapInPandas(_placed(routers), visit), "visits")
+    near = stored(_found(index, sizes, asked, k), "found")
+    by_distance = Window.partitionBy("query").orderBy("score", "vec_id")
+    last = near.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(by_distance))
+    last = last.where(F.col("rank") == k).select("query", F.col("score").alias("reach"))
+    reached = asked.join(last, "query", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    others = stored(reached.select("query", "id", "v", "d", "list", "reach").mapInPandas(_elsewhere(routers), visit), "visits")
+    found = near.unionByName(_found(index, sizes, others, k))
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -64,6 +64,40 @@ def test_neighbours(spark, vectors):
     assert hnsw.neighbours(frame(spark, []), table).count() == 0 and hnsw.neighbours(table, frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["isotropic", "clustered", "dense third"])
+def test_neighbours_over_many_lists(spark, monkeypatch, shape):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(hnsw, "QUERIES", 16)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 16))
+    if shape == "clustered":
+        x = 4 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + 0.5 * x
+    if shape == "dense third":
+        x[:1000] = x[0] + 0.01 * rng.normal(size=(1000, 16))
+    table = frame(spark, [(k, v.tolist(), 1, "n") for k, v in enumerate(x)])
+    assert len(hnsw.fit(x, len(x)).centre) > 30
+    got = {}
+    for r in hnsw.neighbours(table, table.where("vec_id % 25 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(range(0, 3000, 25)) and all(len(v) == 10 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 10 * len(got)
+
+
+def test_neighbours_of_odd_tables(spark):
+    """Repeated ids, lengths that only one side has, fewer rows than neighbours, and components whose squares overflow."""
+    rows = [(1, [0.0, 1.0], 1, "n"), (1, [0.0, 1.0], 1, "n"), (1, [5.0, 1.0], 1, "n"), (2, [0.0, 2.0], 1, "n"), (3, [5.0, 2.0], 1, "n"), (4, [1e200, 1.0], 1, "n"), (7, [1.0] * 3, 1, "n")]
+    asked = [(1, [0.0, 1.0], 1, "n"), (1, [5.0, 1.0], 1, "n"), (8, [1.0] * 4, 1, "n"), (9, [0.0, 1.0], 1, "n")]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in hnsw.neighbours(frame(spark, rows), frame(spark, asked)).collect()}
+    assert got[1, 1] == (2, 1.0) and got[1, 2] == (3, 1.0)
+    assert got[9, 1] == (1, 0.0) and got[9, 2] == (2, 1.0)
+    assert {q for q, _ in got} == {1, 9} and [v for (q, _), (v, _) in sorted(got.items()) if q == 9] == [1, 2, 3]  # 4 is beyond double precision
+
+
 def test_tree_learns_its_table():
     x, y = html_text.EXAMPLES[:, :-1], html_text.EXAMPLES[:, -1]
     assert (html_text.decide(html_text.tree(), x) == y).mean() > 0.97
